@@ -42,7 +42,7 @@ def op6_byte_bpe(spark, sf_dir):
 
 
 def op7_token_store(spark, sf_dir):
-    return token_store.build(documents(spark, sf_dir), BYTE_BPE, PATTERN)
+    return token_store.build(documents(spark, sf_dir), BYTE_BPE)
 
 
 def op8_personal_data(spark, sf_dir):

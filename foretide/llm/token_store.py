@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import zlib
 
 import numpy as np
@@ -25,115 +27,157 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import new_path, worker_cache
-from .bpe_pieces import ODD_RE, splitter
+from ._common import delete, new_path, worker_cache
 
-LEAST, MEAN, MOST, WINDOW = 64, 256, 2048, 16
+LEAST, MEAN, MOST, WINDOW = 64, 256, 2048, 8
 BLOCK = 1024
-CACHE = 400_000
+#: Units that a worker keeps in each of two generations.
+CACHE = 600_000
+#: A space between white space: a pre-token may span it.
+GLUED = re.compile(r"\s (?:\s|\Z)")
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
 class Encoder:
-    """ids as `tokenizers` has them.  Where the file says byte-level without normalisation, pre-tokens
-    are independent, so each distinct one is encoded once and kept; other files go text by text."""
+    """ids as `tokenizers` has them, packed.
 
-    def __init__(self, path: str, pattern: str):
+    Where the file says byte-level without normalisation, what stands between two spaces (with the
+    space before it) is encoded alike anywhere: a pre-token never spans a space unless white space
+    stands on its other side too, and such texts are encoded as they are.  So each distinct unit is
+    encoded once and kept; other files go text by text."""
+
+    def __init__(self, path: str, width: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
         self.tok.encode_special_tokens = True
         spec = json.loads(open(path, encoding="utf-8").read())
         pre = spec.get("pre_tokenizer") or {}
         self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.split = splitter(pattern)
-        self.seen: dict[str, list[int]] = {}
+        self.opens = None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _pack(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pack_units(self, units: list[str]) -> dict[str, bytes]:
+        """Units that neither begin nor end in white space are encoded many at a time: each begins
+        with the one token that begins with a space."""
+        out: dict[str, bytes] = {}
+        plain = [u for u in units if u and u[0] != "\0" and u.strip() == u]
+        if self.opens is None:
+            vocab = self.tok.get_vocab()
+            self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
+            self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        groups = [plain[at : at + 4000] for at in range(0, len(plain), 4000)]
+        for some, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(some):
+                w, raw = self.kind.itemsize, ids.tobytes()
+                ends = (at * w).tolist()
+                out.update(zip(some, [raw[x:y] for x, y in zip(ends, [*ends[1:], len(raw)])]))
+        rest = [u for u in units if u not in out]
+        out.update(zip(rest, self._pack([u[1:] if u[:1] == "\0" else " " + u for u in rest])))
+        return out
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        out: list = [None] * len(texts)
-        pieces = {}
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        units: list = [None] * len(texts)
         for i, t in enumerate(texts):
-            if not self.apart or ODD_RE.search(t):
-                out[i] = self.tok.encode(t, add_special_tokens=False).ids
+            if self.apart and not GLUED.search(t):
+                first, *rest = t.split(" ")
+                units[i] = ["\0" + first, *rest]
+        asked = set()
+        asked.update(*(u for u in units if u))
+        new = []
+        for u in asked.difference(young):
+            if u in old:
+                young[u] = old[u]
             else:
-                pieces[i] = self.split(t)
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = list({p for ps in pieces.values() for p in ps if p not in self.seen})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            got = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)
-            for p in some:
-                self.seen[p] = []
-            for i, w in zip(got.ids, got.word_ids):
-                self.seen[some[w]].append(i)
-        seen = self.seen
-        for i, ps in pieces.items():
-            out[i] = [x for p in ps for x in seen[p]]
-        return out
+                new.append(u)
+        if new:
+            young.update(self._pack_units(new))
+        whole = [t for t, u in zip(texts, units) if u is None]
+        packed = iter(self._pack(whole) if whole else [])
+        get = young.__getitem__
+        return [next(packed) if u is None else b"".join(map(get, u)) for u in units]
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    kept, key = worker_cache(), ("store", path, pattern)
+def encoder(path: str, width: int) -> Encoder:
+    kept, key = worker_cache(), ("store", path, width)
     if key not in kept:
-        kept[key] = Encoder(path, pattern)
+        kept[key] = Encoder(path, width)
     return kept[key]
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: at a rolling hash of WINDOW ids that is 0 modulo MEAN, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    g, h = GEAR[ids & 0xFFFF], np.zeros(n, np.uint64)
+def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
+    """Ends of the chunks of documents that end at `ends` of `ids`: where a rolling hash of WINDOW ids
+    is 0 modulo MEAN, LEAST to MOST ids apart.  LEAST > WINDOW, so no hash that counts has seen a
+    neighbouring document or chunk."""
+    g, h = GEAR[ids & 0xFFFF], np.zeros(len(ids), np.uint64)
     for k in range(WINDOW):
-        h[k:] += g[: n - k] << np.uint64(k)
-    marks = np.nonzero(h >> np.uint64(24) & np.uint64(MEAN - 1) == 0)[0] + 1
-    ends, last = [], 0
-    for m in marks.tolist():
-        while m - last > MOST:
+        h[k:] += g[: len(g) - k] << np.uint64(k)
+    marks = (np.flatnonzero(h >> np.uint64(24) & np.uint64(MEAN - 1) == 0) + 1).tolist()
+    out, at, begin = [], 0, 0
+    for end in ends:
+        own, last = [], begin
+        while at < len(marks) and marks[at] <= begin:
+            at += 1
+        while at < len(marks) and marks[at] < end:
+            m = marks[at]
+            at += 1
+            while m - last > MOST:
+                last += MOST
+                own.append(last)
+            if m - last >= LEAST:
+                own.append(m)
+                last = m
+        while end - last > MOST:
             last += MOST
-            ends.append(last)
-        if m - last >= LEAST and m < n:
-            ends.append(m)
-            last = m
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return [*ends, n]
+            own.append(last)
+        own.append(end)
+        out.append(own)
+        begin = end
+    return out
 
 
-def _chunked(path: str, pattern: str, end_id: int, width: int):
-    kind = np.dtype(f"<u{width}")
+def _chunked(path: str, end_id: int, width: int):
+    last = end_id.to_bytes(width, "little")
 
     def run(batches):
-        own = encoder(path, pattern)
+        own = encoder(path, width)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                tokens, roots, hashes, sizes, data = [], [], [], [], []
-                for ids in own([t.as_py() or "" for t in part.column(1)]):
-                    ids.append(end_id)
-                    a = np.array(ids, np.int64)
-                    raw, ends = a.astype(kind).tobytes(), cut(a)
-                    cuts = [raw[x * width : y * width] for x, y in zip([0, *ends], ends)]
-                    hs = [hashlib.sha256(c).digest()[:16] for c in cuts]
-                    tokens.append(len(ids))
+                packed = [x + last for x in own([t or "" for t in part.column(1).to_pylist()])]
+                tokens = [len(x) // width for x in packed]
+                ends = np.cumsum(tokens).tolist()
+                found = cuts(np.frombuffer(b"".join(packed), own.kind), ends)
+                roots, hashes, sizes, data = [], [], [], []
+                for raw, n, end, cut in zip(packed, tokens, ends, found):
+                    at = [0, *(c - end + n for c in cut)]
+                    pieces = [raw[x * width : y * width] for x, y in zip(at, at[1:])]
+                    hs = [hashlib.sha256(c).digest()[:16] for c in pieces]
                     roots.append(hashlib.sha256(b"".join(hs)).digest())
                     hashes.append(hs)
-                    sizes.append([len(c) // width for c in cuts])
-                    data.append(cuts)
+                    sizes.append([y - x for x, y in zip(at, at[1:])])
+                    data.append(pieces)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(roots, pa.binary()), pa.array(hashes, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "root", "hashes", "sizes", "data"])
 
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends end_id and writes the store.  Ids must fit `width` bytes."""
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.BinaryType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.BinaryType()))])
     staged = f"{path}/staged"
-    docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_chunked(tokenizer, pattern, end_id, width), schema).write.option("compression", "zstd").parquet(staged)
+    docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_chunked(tokenizer, end_id, width), schema).write.option("compression", "zstd").parquet(staged)
     got = spark.read.schema(schema).parquet(staged)
     chunks = got.select(F.explode(F.arrays_zip("hashes", "sizes", "data")).alias("c")).select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"), F.col("c.data").alias("data"))
     chunks.dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
@@ -149,8 +193,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int
     placed = recipe.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.sum("n_tokens").over(along) - F.col("n_tokens"))
     placed.select("part", "start", "doc_id", "n_tokens", "root", "hashes", "sizes").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(recipes(spark, path)).write.parquet(f"{path}/manifest")
-    from ._common import delete
-
     for old in (staged, ranged):
         delete(spark, old)
 
@@ -261,9 +303,9 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return rows.select("doc_id", "start", "parts").mapInArrow(unpack, T.StructType([found.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def build(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:
+def build(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes a store in the shared folder and returns what `digests` reads from it."""
     spark = docs.sparkSession
     path = new_path(spark, "token-store")
-    write(docs, path, tokenizer, pattern)
+    write(docs, path, tokenizer)
     return digests(spark, path)
