@@ -120,23 +120,30 @@ def _fragment(t: np.ndarray, late: np.ndarray, fragments: int) -> np.ndarray:
 _EMITTED = "frag int, doc_id long, cls long, n long, c binary, s binary, k binary, t binary"
 
 
-def _emit(fragments: int, common=None, only=None):
+def _only(wanted):
+    """The rows whose id is in the broadcast bits."""
+
+    def run(batches):
+        bits = Bits(wanted.value)
+        for b in batches:
+            number = np.array([0 if x is None else x for x in b.column(0).to_pylist()], np.int64)
+            if len(number):
+                yield b.filter(pa.array(bits.has(number.view(np.uint64))))
+
+    return run
+
+
+def _emit(fragments: int, common=None):
     """Documents (frag -1) and, by fragment, the prefixes' segments: classes, set sizes, segment
-    lengths, n-grams.  `common`: bits of the n-grams that come last; `only`: bits of ids to read."""
+    lengths, n-grams.  `common`: bits of the n-grams that come last."""
 
     def run(batches):
         kept = worker_cache().setdefault("ngrams", {})
         late = Bits(common.value) if common is not None else None
-        wanted = Bits(only.value) if only is not None else None
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 some = batch.slice(lo, SLICE)
                 ids = some.column(0)
-                if wanted is not None:
-                    number = np.array([0 if x is None else x for x in ids.to_pylist()], np.int64)
-                    keep = wanted.has(number.view(np.uint64)) if len(number) else np.zeros(0, bool)
-                    some = some.filter(pa.array(keep))
-                    ids = some.column(0)
                 sets = [shingles(x or "", kept) for x in some.column(1).to_pylist()]
                 cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64)
                 size = np.array([len(s) for s in sets], np.int64)
@@ -170,7 +177,7 @@ def _emit(fragments: int, common=None, only=None):
                         rows["k"].append(np.diff(np.append(new, len(ww))).astype(np.uint32).tobytes())
                         rows["t"].append(t[x:y].tobytes())
                 m = len(rows["frag"])
-                docs = len(sets) if only is None else 0
+                docs = len(sets) if common is None else 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([-1] * docs + rows["frag"], pa.int32()),
@@ -189,12 +196,12 @@ _COUNTED = "kind int, a long, b long, o long, na long, nb long, list long, token
 
 
 def _count(key, rows):
-    """One fragment: partial overlaps of light n-grams' pairs and of stars (kind 1), lists of the
-    holders of heavy n-grams, n-grams with equal holders together (kind 2)."""
+    """One fragment: partial overlaps of light n-grams' pairs (kind 1) and of stars (kind 3), lists of
+    the holders of heavy n-grams, n-grams with equal holders together (kind 2)."""
     cs, ns, ts = [], [], []
     for c, s, k, t in zip(*(rows.column(x).to_pylist() for x in ("c", "s", "k", "t"))):
         k = np.frombuffer(k, np.uint32)
-        cs.append(np.repeat(np.frombuffer(c, np.uint64), k))
+        cs.append(np.repeat(np.frombuffer(c, np.int64), k))
         ns.append(np.repeat(np.frombuffer(s, np.uint32), k))
         ts.append(np.frombuffer(t, np.uint64))
     c, n, t = np.concatenate(cs), np.concatenate(ns).astype(np.int64), np.concatenate(ts)
@@ -205,31 +212,36 @@ def _count(key, rows):
     c, n, t = c[keep], n[keep], t[keep]
     starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     length = np.diff(np.append(starts, len(t)))
-    left, right = [], []
+    light: list[list] = [[], []]
+    star: list[list] = [[], []]
     for size in range(2, LIGHT + 1):
         at = starts[length == size]
         for i in range(size):
             for j in range(i + 1, size):
-                left.append(at + i)
-                right.append(at + j)
+                light[0].append(at + i)
+                light[1].append(at + j)
     lists: dict[bytes, list] = {}
     for at, size in zip(starts[length > LIGHT].tolist(), length[length > LIGHT].tolist()):
-        left.append(np.full(size - 1, at))
-        right.append(np.arange(at + 1, at + size))
+        star[0].append(np.full(size - 1, at))
+        star[1].append(np.arange(at + 1, at + size))
         lists.setdefault(c[at : at + size].tobytes(), []).append(t[at])
-    i = np.concatenate(left) if left else np.zeros(0, np.int64)
-    j = np.concatenate(right) if right else np.zeros(0, np.int64)
-    fits = (3 * n[i] <= 4 * n[j]) & (3 * n[j] <= 4 * n[i])
-    i, j = i[fits], j[fits]
-    order = np.lexsort((c[j], c[i]))
-    i, j = i[order], j[order]
-    new = np.flatnonzero(np.concatenate(([True], (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1])))) if len(i) else np.zeros(0, np.int64)
-    m, z = len(new), len(lists)
-    i0, j0 = i[new], j[new]
+
+    def summed(i, j):
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
+        fits = (3 * n[i] <= 4 * n[j]) & (3 * n[j] <= 4 * n[i])
+        i, j = i[fits], j[fits]
+        order = np.lexsort((c[j], c[i]))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.concatenate(([True], (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1])))) if len(i) else np.zeros(0, np.int64)
+        return i[new], j[new], np.diff(np.append(new, len(i)))
+
+    (i1, j1, o1), (i3, j3, o3) = summed(*light), summed(*star)
+    i0, j0, o = np.concatenate((i1, i3)), np.concatenate((j1, j3)), np.concatenate((o1, o3))
+    m, z = len(i0), len(lists)
     return pa.table({
-        "kind": pa.array([1] * m + [2] * z, pa.int32()),
-        "a": pa.concat_arrays([pa.array(c[i0].view(np.int64)), pa.nulls(z, pa.int64())]), "b": pa.concat_arrays([pa.array(c[j0].view(np.int64)), pa.nulls(z, pa.int64())]),
-        "o": pa.concat_arrays([pa.array(np.diff(np.append(new, len(i)))), pa.nulls(z, pa.int64())]),
+        "kind": pa.array([1] * len(i1) + [3] * len(i3) + [2] * z, pa.int32()),
+        "a": pa.concat_arrays([pa.array(c[i0]), pa.nulls(z, pa.int64())]), "b": pa.concat_arrays([pa.array(c[j0]), pa.nulls(z, pa.int64())]),
+        "o": pa.concat_arrays([pa.array(o), pa.array(np.array([len(v) for v in lists.values()], np.int64))]),
         "na": pa.concat_arrays([pa.array(n[i0]), pa.nulls(z, pa.int64())]), "nb": pa.concat_arrays([pa.array(n[j0]), pa.nulls(z, pa.int64())]),
         "list": pa.array([None] * m + [key[0].as_py() << 32 | x for x in range(z)], pa.int64()),
         "tokens": pa.array([None] * m + [np.array(v, np.uint64).tobytes() for v in lists.values()], pa.binary()),
@@ -260,11 +272,8 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     only = spark.sparkContext.broadcast(bits_of(ids, "rep", ids.count()))
 
     def read(batches):
-        kept, wanted = worker_cache().setdefault("ngrams", {}), Bits(only.value)
-        seen = set()
-        for b in batches:
-            number = np.array([0 if x is None else x for x in b.column(0).to_pylist()], np.int64)
-            some = b.filter(pa.array(wanted.has(number.view(np.uint64)))) if len(number) else b
+        kept, seen = worker_cache().setdefault("ngrams", {}), set()
+        for some in _only(only)(batches):
             for lo in range(0, some.num_rows, 500):
                 cls, hi, mid, size = [], [], [], []
                 for x in some.column(1).slice(lo, 500).to_pylist():
@@ -321,22 +330,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
         if level:
             only = spark.sparkContext.broadcast(bits_of(members, "rep", members.count()))
             last = spark.sparkContext.broadcast(bits_of(common, "token", common.count()))
-            segments = rows.mapInArrow(_emit(fragments, last, only), _EMITTED).filter("frag >= 0")
+            rows = table(rows.mapInArrow(_only(only), "doc_id long, text string"), "join-rows")
+            segments = rows.mapInArrow(_emit(fragments, last), _EMITTED).filter("frag >= 0")
         counted = table(segments.groupBy("frag").applyInArrow(_count, _COUNTED), "join-counted")
-        pairs = counted.filter("kind = 1").groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         # Beyond the prefix at most ceil(3n/4) - 1 n-grams are left.
         rest = F.greatest(F.floor((3 * F.col("na") + 3) / 4), F.floor((3 * F.col("nb") + 3) / 4)) - 1
-        pairs = table(pairs.filter(F.col("o") + rest >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)).select("a", "b"), "join-pairs")
-        joined(verified(rows, reps, pairs))
+        reaches = F.col("o") + rest >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
+        pairs = counted.filter("kind <> 2").groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        joined(verified(rows, reps, table(pairs.filter(reaches).select("a", "b"), "join-pairs")))
         at = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
         lists = _longs("held", "cls")(counted.filter("kind = 2")).join(at, "cls")
         spread = lists.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-        lists = table(lists.join(spread, "list"), "join-lists")
+        sizes = counted.filter("kind = 2").select("list", F.col("o").alias("w"))
+        lists = table(lists.join(spread.join(sizes, "list"), "list"), "join-lists")
         last_level = level == LEVELS - 1
         few = lists if last_level else lists.filter(F.col("k") <= FEW)
-        x, y = (few.select("list", *(F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "comp"))) for s in "xy")
-        across = x.join(y, "list").filter("compx < compy and 3 * nx <= 4 * ny and 3 * ny <= 4 * nx").select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).distinct()
-        across = table(across, "join-across")
+        x, y = (few.select("list", "w", *(F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "comp"))) for s in "xy")
+        across = x.join(y.drop("w"), "list").filter("clsx < clsy and compx <> compy and 3 * nx <= 4 * ny and 3 * ny <= 4 * nx")
+        across = across.select(F.col("clsx").alias("a"), F.col("clsy").alias("b"), F.col("w").alias("o"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+        # What a pair shares in its prefixes: in these lists, in longer ones (at most what is left to
+        # the next level, which sees such a pair again), and in light n-grams.
+        across = across.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        light = counted.filter("kind = 1").groupBy("a", "b").agg(F.sum("o").alias("p"))
+        across = across.join(light, ["a", "b"], "left").withColumn("o", F.col("o") + F.coalesce("p", F.lit(0)))
+        across = table(across.filter(reaches).select("a", "b"), "join-across")
         if across.limit(1).count():
             joined(verified(rows, reps, across))
         many = lists.filter(F.col("k") > FEW)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_mod, table, text_of, worker_cache
+from ._common import arrow_rows, crc_mod, table, text_of, worker_cache
 
 CONTEXTS = 1 << 14
 BLOCK = 2000
@@ -115,11 +115,14 @@ class Part:
 
     def __init__(self, word_sizes: np.ndarray, ctx: np.ndarray, doc: np.ndarray):
         n = len(ctx)
-        word = np.repeat(np.arange(len(word_sizes)), word_sizes)
-        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1])))) if n else np.zeros(0, np.int64)
-        self.runs = np.diff(np.append(new, n))
-        self.word, self.ctx = word[new], ctx[new].astype(np.int64)
-        self.count = np.add.reduceat(doc & 1, new).astype(np.int64) if n else np.zeros(0, np.int64)
+        first = np.zeros(n, bool)
+        first[1:] = ctx[1:] != ctx[:-1]
+        first[(np.cumsum(word_sizes, dtype=np.int64) - word_sizes)[word_sizes > 0]] = True
+        new = np.flatnonzero(first)
+        self.runs = np.diff(np.append(new, n)).astype(np.int32)
+        self.word = np.repeat(np.arange(len(word_sizes), dtype=np.int32), word_sizes)[new]
+        self.ctx = ctx[new].astype(np.int32)
+        self.count = np.add.reduceat((doc & np.uint32(1)).astype(np.int32), new) if n else np.zeros(0, np.int32)
         self.word_count = np.bincount(self.word, self.count, len(word_sizes)).astype(np.int64)
         self.has = self.count > 0
 
@@ -209,15 +212,14 @@ def _sum(df: DataFrame) -> dict:
 
 def _replay(own: Part, part: int, states: list[dict], model: dict, upto: int):
     """Samples 1..upto of a part, the same in every run.  State k holds the totals that sweep k + 1 uses."""
-    found, root = [], {}
+    root: dict = {}
     for k in range(upto):
         t, rc, rt = own.sweep(states[k] | root, model, (20240607, part, k))
         root = {"root_c": rc, "root_t": rt}
-        found.append((t, rc, rt))
-    return found
+        yield t, rc, rt
 
 
-def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 20 << 20, id_col: str = "doc_id", text_col: str = "text", hold: int = 5, held: int = 1, model: dict | None = None) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", hold: int = 5, held: int = 1, model: dict | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
     spark = docs.sparkSession
     model = {"d": 0.8, "theta": 4.0, "d0": 0.5, "theta0": 1.0} | (model or {})
@@ -235,10 +237,12 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 20 << 20, id_col:
             for b in batches:
                 for r in b.to_pylist():
                     own = _unpack(r)
-                    x = own.totals(*_replay(own, r["part"], known.value, model, k)[-1])
+                    *_, last = _replay(own, r["part"], known.value, model, k)
+                    x = own.totals(*last)
                     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((x["cu"], x["tu"])).astype(np.float64).tobytes()], pa.binary()), pa.array([x["s"].tobytes()], pa.binary())], names=["cu", "s"])
 
-        states.append(_sum(mine.select("part", "sizes", "ctx", "doc").mapInArrow(sweep, "cu binary, s binary")))
+        with arrow_rows(spark, 1):
+            states.append(_sum(mine.select("part", "sizes", "ctx", "doc").mapInArrow(sweep, "cu binary, s binary")))
     known = spark.sparkContext.broadcast(states)
 
     def mark(batches):
@@ -251,19 +255,19 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 20 << 20, id_col:
                     cu, tu = st[k]["cu"][own.ctx], st[k]["tu"][own.ctx]
                     p += (own.count - model["d"] * t + (model["theta"] + model["d"] * tu) * up) / (cu + model["theta"])
                 n, v = st[0]["n"], st[0]["v"]
-                lp = np.repeat(np.log10(p / sweeps), own.runs)
-                wc = np.repeat(own.word_count[own.word], own.runs)
-                base = np.log10((wc + 0.5) / (n + 0.5 * (v + 1)))
-                blk, doc = np.frombuffer(r["block_of"], np.uint32), np.frombuffer(r["doc"], np.uint32) >> 1
+                wc = own.word_count[own.word]
+                values = (np.log10(p / sweeps), np.log10((wc + 0.5) / (n + 0.5 * (v + 1))), wc > 0)
+                runs, blocks_here = own.runs, len(r["blocks"])
+                del own, p, wc
+                blk, doc = np.frombuffer(r["block_of"], np.uint32), np.frombuffer(r["doc"], np.uint32) >> np.uint32(1)
                 at = blk.astype(np.int64) * BLOCK + doc
-                length = len(r["blocks"]) * BLOCK
-                sums = [np.bincount(at, w, length).reshape(-1, BLOCK) for w in (lp, base, wc > 0)]
-                last = np.zeros(len(r["blocks"]), np.int64)
-                np.maximum.at(last, blk, doc + 1)
+                sums = [np.bincount(at, np.repeat(w, runs), blocks_here * BLOCK).reshape(-1, BLOCK) for w in values]
+                last = np.zeros(blocks_here, np.int64)
+                np.maximum.at(last, blk, doc.astype(np.int64) + 1)
                 out = [[], [], [], [], []]
                 for i, name in enumerate(r["blocks"]):
                     z = last[i]
-                    for o, val in zip(out, (name, r["part"], sums[0][i, :z].tobytes(), sums[1][i, :z].tobytes(), sums[2][i, :z].astype(np.uint32).tobytes())):
+                    for o, val in zip(out, (name, r["part"], sums[0][i, :z].tobytes(), sums[1][i, :z].tobytes(), sums[2][i, :z].astype(np.uint16).tobytes() if sums[2][i].max() < 65536 else sums[2][i, :z].astype(np.uint32).tobytes())):
                         o.append(val)
                 yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "part", "x", "y", "z"])
 
@@ -277,10 +281,11 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 20 << 20, id_col:
             x = np.frombuffer(r["x"], np.float64)
             a[: len(x)] += x
             b[: len(x)] += np.frombuffer(r["y"], np.float64)
-            c[: len(x)] += np.frombuffer(r["z"], np.uint32)
+            c[: len(x)] += np.frombuffer(r["z"], np.uint16 if len(r["z"]) == 2 * len(x) else np.uint32)
         return pa.table({"doc_id": pa.array([None if m else i for i, m in ids.tolist()], pa.int64()), "held_out": pa.array(np.frombuffer(head["y"], np.uint8) == 0), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(c), "train_tokens": pa.array(np.full(len(n), int(states_n), np.int64)), "base_score": pa.array(b), "score": pa.array(a)})
 
     states_n = states[0]["n"]
-    marked = mine.mapInArrow(mark, "block string, part int, x binary, y binary, z binary")
+    with arrow_rows(spark, 1):
+        marked = table(mine.select("part", "blocks", "sizes", "ctx", "block_of", "doc").mapInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums", "none")
     heads = got.filter("kind = 1").select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), F.col("sizes").alias("x"), F.col("ctx").alias("y"), F.col("doc").alias("z"))
     return marked.unionByName(heads).groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
