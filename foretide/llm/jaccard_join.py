@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table, text_of, worker_cache
+from ._common import arrow_rows, table, text_of
 from .components import components
 
 WORDS = 5
 LIGHT, FEW, LEVELS = 8, 32, 4
 SLICE = 2000
-CACHE = 1_000_000
+CACHE = 250_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,7 +138,7 @@ def _emit(fragments: int, common=None):
     lengths, n-grams.  `common`: bits of the n-grams that come last."""
 
     def run(batches):
-        kept = worker_cache().setdefault("ngrams", {})
+        kept: dict = {}
         late = Bits(common.value) if common is not None else None
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
@@ -272,7 +272,7 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     only = spark.sparkContext.broadcast(bits_of(ids, "rep", ids.count()))
 
     def read(batches):
-        kept, seen = worker_cache().setdefault("ngrams", {}), set()
+        kept, seen = {}, set()
         for some in _only(only)(batches):
             for lo in range(0, some.num_rows, 500):
                 cls, hi, mid, size = [], [], [], []
@@ -304,7 +304,8 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = rows.mapInArrow(read, "cls long, hi binary, mid binary")
     one = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("hi").alias("hb"), F.col("mid").alias("mb")), "b")
     two = one.join(sets.select(F.col("cls").alias("a"), F.col("hi").alias("ha"), F.col("mid").alias("ma")), "a")
-    return table(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(overlap, "a long, b long").distinct(), "join-links")
+    with arrow_rows(spark, 1000):
+        return table(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(overlap, "a long, b long").distinct(), "join-links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
@@ -313,7 +314,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     fragments = max(4, -(-size // fragment_bytes))
-    found = table(rows.mapInArrow(_emit(fragments), _EMITTED), "join-emitted", "none")
+    with arrow_rows(spark, SLICE):
+        found = table(rows.mapInArrow(_emit(fragments), _EMITTED), "join-emitted", "none")
     own = found.filter("frag = -1").select("doc_id", "cls", "n")
     reps = table(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "join-classes")
     segments = found.filter("frag >= 0")

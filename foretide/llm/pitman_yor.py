@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_rows, crc_mod, table, text_of, worker_cache
+from ._common import arrow_rows, crc_mod, table, text_of
 
 CONTEXTS = 1 << 14
 BLOCK = 2000
-CACHE = 1_000_000
+CACHE = 250_000
 END = np.uint64(1)
 
 
@@ -54,7 +54,7 @@ def _emit(parts: int):
     names = ["part", "kind", "block", "a", "b", "c", "d"]
 
     def run(batches):
-        kept, number = worker_cache().setdefault("words", {}), 0
+        kept, number = {}, 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, BLOCK):
@@ -227,7 +227,8 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col:
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = max(4, -(-size // part_bytes))
     emitted = rows.mapInArrow(_emit(parts), "part int, kind int, block string, a binary, b binary, c binary, d binary")
-    got = table(emitted.groupBy("part").applyInArrow(_gather, _PARTS), "lm-parts")
+    with arrow_rows(spark, BLOCK):
+        got = table(emitted.groupBy("part").applyInArrow(_gather, _PARTS), "lm-parts")
     mine = got.filter("kind = 0")
     states = [_sum(mine)]
     for k in range(1, sweeps + 1):
@@ -286,6 +287,6 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col:
 
     states_n = states[0]["n"]
     with arrow_rows(spark, 1):
-        marked = table(mine.select("part", "blocks", "sizes", "ctx", "block_of", "doc").mapInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums", "none")
+        marked = table(mine.select("part", "blocks", "sizes", "ctx", "block_of", "doc").mapInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums")
     heads = got.filter("kind = 1").select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), F.col("sizes").alias("x"), F.col("ctx").alias("y"), F.col("doc").alias("z"))
     return marked.unionByName(heads).groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
