@@ -72,6 +72,33 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def released(run):
+    """A function of batches that gives its memory back to the system when it ends: idle workers
+    otherwise keep the most that any stage needed."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, whatever ships the function."""
     return sys.modules.setdefault("_foretide_worker", types.ModuleType("_foretide_worker")).__dict__

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_rows, table, text_of
+from ._common import arrow_rows, give_back, released, table, text_of
 from .components import components
 
 WORDS = 5
@@ -204,6 +204,7 @@ def _count(key, rows):
         cs.append(np.repeat(np.frombuffer(c, np.int64), k))
         ns.append(np.repeat(np.frombuffer(s, np.uint32), k))
         ts.append(np.frombuffer(t, np.uint64))
+    give_back()
     c, n, t = np.concatenate(cs), np.concatenate(ns).astype(np.int64), np.concatenate(ts)
     del cs, ns, ts
     order = np.lexsort((c, t))
@@ -301,11 +302,11 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(int((both[1:] == both[:-1]).sum()) >= required(len(x), len(y)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = rows.mapInArrow(read, "cls long, hi binary, mid binary")
+    sets = rows.mapInArrow(released(read), "cls long, hi binary, mid binary")
     one = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("hi").alias("hb"), F.col("mid").alias("mb")), "b")
     two = one.join(sets.select(F.col("cls").alias("a"), F.col("hi").alias("ha"), F.col("mid").alias("ma")), "a")
-    with arrow_rows(spark, 1000):
-        return table(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(overlap, "a long, b long").distinct(), "join-links")
+    with arrow_rows(spark, SLICE // 2):
+        return table(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(released(overlap), "a long, b long").distinct(), "join-links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
@@ -315,7 +316,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     fragments = max(4, -(-size // fragment_bytes))
     with arrow_rows(spark, SLICE):
-        found = table(rows.mapInArrow(_emit(fragments), _EMITTED), "join-emitted", "none")
+        found = table(rows.mapInArrow(released(_emit(fragments)), _EMITTED), "join-emitted", "none")
     own = found.filter("frag = -1").select("doc_id", "cls", "n")
     reps = table(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "join-classes")
     segments = found.filter("frag >= 0")
@@ -332,9 +333,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
         if level:
             only = spark.sparkContext.broadcast(bits_of(members, "rep", members.count()))
             last = spark.sparkContext.broadcast(bits_of(common, "token", common.count()))
-            rows = table(rows.mapInArrow(_only(only), "doc_id long, text string"), "join-rows")
-            segments = rows.mapInArrow(_emit(fragments, last), _EMITTED).filter("frag >= 0")
-        counted = table(segments.groupBy("frag").applyInArrow(_count, _COUNTED), "join-counted")
+            with arrow_rows(spark, SLICE):
+                rows = table(rows.mapInArrow(released(_only(only)), "doc_id long, text string"), "join-rows")
+            segments = rows.mapInArrow(released(_emit(fragments, last)), _EMITTED).filter("frag >= 0")
+        with arrow_rows(spark, SLICE):
+            counted = table(segments.groupBy("frag").applyInArrow(_count, _COUNTED), "join-counted")
         # Beyond the prefix at most ceil(3n/4) - 1 n-grams are left.
         rest = F.greatest(F.floor((3 * F.col("na") + 3) / 4), F.floor((3 * F.col("nb") + 3) / 4)) - 1
         reaches = F.col("o") + rest >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)

@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_rows, crc_mod, table, text_of
+from ._common import arrow_rows, crc_mod, give_back, released, table, text_of
 
 CONTEXTS = 1 << 14
+#: Documents of a block; their numbers and the training bit take 12 bits.
 BLOCK = 2000
+WIDE = 4096
+#: Word ranges of a part that are sorted one after another.
+RANGES = 6
 CACHE = 250_000
 END = np.uint64(1)
 
@@ -67,7 +71,7 @@ def _emit(parts: int):
                 before = np.roll(h, 1)
                 before[0] = END
                 ctx = context_of(before)
-                doc = np.repeat(np.arange(len(each), dtype=np.uint32) << 1 | train, sizes)
+                doc = np.repeat(np.arange(len(each), dtype=np.uint16) << 1 | train.astype(np.uint16), sizes)
                 part = (h >> np.uint64(33)) % np.uint64(parts)
                 order = np.lexsort((ctx, h, part))
                 h, ctx, doc, part = h[order], ctx[order], doc[order], part[order]
@@ -156,7 +160,12 @@ def _unpack(row: dict) -> Part:
     return Part(np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["ctx"], np.uint16), np.frombuffer(row["doc"], np.uint32))
 
 
-_PARTS = "part int, kind int, blocks array<string>, sizes binary, ctx binary, block_of binary, doc binary, cu binary, s binary"
+_PARTS = "part int, kind int, blocks array<string>, sizes binary, ctx binary, doc binary, cu binary, s binary"
+
+
+def _buffers(column):
+    """The values' own memory, without copies."""
+    return (chunk[i].as_buffer() for chunk in column.chunks for i in range(len(chunk)))
 
 
 def _gather(key, rows):
@@ -164,31 +173,41 @@ def _gather(key, rows):
     part = key[0].as_py()
     kind = np.asarray(rows.column("kind"))
     tok, out = rows.filter(pa.array(kind == 0)), []
-    order = np.argsort(np.array(tok.column("block").to_pylist(), dtype=object), kind="stable") if tok.num_rows else []
-    blocks, hs, cs, ds, bs = [], [], [], [], []
-    columns = [tok.column(x) for x in ("block", "a", "b", "c", "d")]
-    for at, i in enumerate(order):
-        block, a, b, c, d = (x[int(i)].as_py() for x in columns)
-        blocks.append(block)
-        hs.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
-        cs.append(np.frombuffer(c, np.uint16))
-        ds.append(np.frombuffer(d, np.uint32))
-        bs.append(np.full(len(cs[-1]), at, np.uint32))
+    found = []
+    for block, a, b, c, d in zip(tok.column("block").to_pylist(), *(_buffers(tok.column(x)) for x in "abcd")):
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+        found.append((block, a, b, np.concatenate(([0], np.cumsum(b, dtype=np.int64))), np.frombuffer(c, np.uint16), np.frombuffer(d, np.uint16)))
+    found.sort(key=lambda x: x[0])
+    blocks = [x[0] for x in found]
     if blocks:
-        h, c = np.concatenate(hs), np.concatenate(cs)
-        del hs, cs
-        order = np.lexsort((c, h))
-        h, c, d, b = h[order], c[order], np.concatenate(ds)[order], np.concatenate(bs)[order]
-        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        sizes = np.diff(np.append(new, len(h))).astype(np.uint32)
+        sizes_, ctx_, doc_ = [], [], []
+        for k in range(RANGES):
+            hs, cs, ds = [], [], []
+            for at, (_, a, b, upto, c, d) in enumerate(found):
+                lo, hi = (np.searchsorted(a, np.uint64((x << 64) // RANGES)) if x < RANGES else len(a) for x in (k, k + 1))
+                hs.append(np.repeat(a[lo:hi], b[lo:hi]))
+                cs.append(c[upto[lo] : upto[hi]])
+                ds.append(d[upto[lo] : upto[hi]].astype(np.uint32) + np.uint32(at * WIDE))
+            h, c, d = np.concatenate(hs), np.concatenate(cs), np.concatenate(ds)
+            del hs, cs, ds
+            order = np.lexsort((c, h))
+            h, c, d = h[order], c[order], d[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+            sizes_.append(np.diff(np.append(new, len(h))).astype(np.uint32))
+            ctx_.append(c)
+            doc_.append(d)
+            del h, order
+        sizes, c, d = np.concatenate(sizes_), np.concatenate(ctx_), np.concatenate(doc_)
+        del sizes_, ctx_, doc_, found
+        give_back()
         own = Part(sizes, c, d)
         cu = np.bincount(own.ctx, own.count, CONTEXTS).astype(np.float64)
         tu = np.bincount(own.ctx, own.has, CONTEXTS).astype(np.float64)
         s = np.array([own.count.sum(), (own.word_count > 0).sum(), own.has.sum(), (own.word_count > 0).sum()], np.float64)
-        out.append((part, 0, blocks, sizes.tobytes(), c.tobytes(), b.tobytes(), d.tobytes(), np.concatenate((cu, tu)).tobytes(), s.tobytes()))
+        out.append((part, 0, blocks, sizes.tobytes(), c.tobytes(), d.tobytes(), np.concatenate((cu, tu)).tobytes(), s.tobytes()))
     for r in rows.filter(pa.array(kind == 1)).to_pylist():
-        out.append((part, 1, [r["block"]], r["b"], r["c"], b"", r["d"], b"", b""))
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 6]
+        out.append((part, 1, [r["block"]], r["b"], r["c"], r["d"], b"", b""))
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 5]
     return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[x.split(" ")[0] for x in _PARTS.split(", ")])
 
 
@@ -219,14 +238,14 @@ def _replay(own: Part, part: int, states: list[dict], model: dict, upto: int):
         yield t, rc, rt
 
 
-def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", hold: int = 5, held: int = 1, model: dict | None = None) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", hold: int = 5, held: int = 1, model: dict | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
     spark = docs.sparkSession
     model = {"d": 0.8, "theta": 4.0, "d0": 0.5, "theta0": 1.0} | (model or {})
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"), (crc_mod(F.col(id_col), hold) != held).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = max(4, -(-size // part_bytes))
-    emitted = rows.mapInArrow(_emit(parts), "part int, kind int, block string, a binary, b binary, c binary, d binary")
+    emitted = rows.mapInArrow(released(_emit(parts)), "part int, kind int, block string, a binary, b binary, c binary, d binary")
     with arrow_rows(spark, BLOCK):
         got = table(emitted.groupBy("part").applyInArrow(_gather, _PARTS), "lm-parts")
     mine = got.filter("kind = 0")
@@ -243,7 +262,7 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col:
                     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((x["cu"], x["tu"])).astype(np.float64).tobytes()], pa.binary()), pa.array([x["s"].tobytes()], pa.binary())], names=["cu", "s"])
 
         with arrow_rows(spark, 1):
-            states.append(_sum(mine.select("part", "sizes", "ctx", "doc").mapInArrow(sweep, "cu binary, s binary")))
+            states.append(_sum(mine.select("part", "sizes", "ctx", "doc").mapInArrow(released(sweep), "cu binary, s binary")))
     known = spark.sparkContext.broadcast(states)
 
     def mark(batches):
@@ -260,7 +279,8 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col:
                 values = (np.log10(p / sweeps), np.log10((wc + 0.5) / (n + 0.5 * (v + 1))), wc > 0)
                 runs, blocks_here = own.runs, len(r["blocks"])
                 del own, p, wc
-                blk, doc = np.frombuffer(r["block_of"], np.uint32), np.frombuffer(r["doc"], np.uint32) >> np.uint32(1)
+                at = np.frombuffer(r["doc"], np.uint32)
+                blk, doc = at // WIDE, at % WIDE >> np.uint32(1)
                 at = blk.astype(np.int64) * BLOCK + doc
                 sums = [np.bincount(at, np.repeat(w, runs), blocks_here * BLOCK).reshape(-1, BLOCK) for w in values]
                 last = np.zeros(blocks_here, np.int64)
@@ -287,6 +307,6 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 24 << 20, id_col:
 
     states_n = states[0]["n"]
     with arrow_rows(spark, 1):
-        marked = table(mine.select("part", "blocks", "sizes", "ctx", "block_of", "doc").mapInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums")
+        marked = table(mine.select("part", "blocks", "sizes", "ctx", "doc").mapInArrow(released(mark), "block string, part int, x binary, y binary, z binary"), "lm-sums")
     heads = got.filter("kind = 1").select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), F.col("sizes").alias("x"), F.col("ctx").alias("y"), F.col("doc").alias("z"))
     return marked.unionByName(heads).groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
