@@ -7,7 +7,7 @@ Jaccard >= 3/4 share an n-gram among the first n - ceil(3n/4) + 1 of each), so a
 overlap bounds its whole overlap; pairs that can reach the threshold are verified on whole sets.
 
 Equal sets are one class.  Within a fragment, an n-gram held by up to LIGHT classes gives all their
-pairs; one held by more gives a star around its first class and is listed.  When stars are verified
+pairs; one held by more is listed, and each list gives a star around one of its holders.  When stars are verified
 and joined into components, listed n-grams inside one component need nothing more: any link among
 their holders would join what is joined.  N-grams across up to FEW components give the pairs between
 components.  N-grams across more are common passages: their holders are joined anew among
@@ -196,8 +196,8 @@ _COUNTED = "kind int, a long, b long, o long, na long, nb long, list long, token
 
 
 def _count(key, rows):
-    """One fragment: partial overlaps of light n-grams' pairs (kind 1) and of stars (kind 3), lists of
-    the holders of heavy n-grams, n-grams with equal holders together (kind 2)."""
+    """One fragment: partial overlaps of light n-grams' pairs (kind 1), lists of the holders of heavy
+    n-grams, n-grams with equal holders together (kind 2)."""
     cs, ns, ts = [], [], []
     for c, s, k, t in zip(*(rows.column(x).to_pylist() for x in ("c", "s", "k", "t"))):
         k = np.frombuffer(k, np.uint32)
@@ -214,7 +214,6 @@ def _count(key, rows):
     starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     length = np.diff(np.append(starts, len(t)))
     light: list[list] = [[], []]
-    star: list[list] = [[], []]
     for size in range(2, LIGHT + 1):
         at = starts[length == size]
         for i in range(size):
@@ -223,8 +222,6 @@ def _count(key, rows):
                 light[1].append(at + j)
     lists: dict[bytes, list] = {}
     for at, size in zip(starts[length > LIGHT].tolist(), length[length > LIGHT].tolist()):
-        star[0].append(np.full(size - 1, at))
-        star[1].append(np.arange(at + 1, at + size))
         lists.setdefault(c[at : at + size].tobytes(), []).append(t[at])
 
     def summed(i, j):
@@ -236,11 +233,10 @@ def _count(key, rows):
         new = np.flatnonzero(np.concatenate(([True], (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1])))) if len(i) else np.zeros(0, np.int64)
         return i[new], j[new], np.diff(np.append(new, len(i)))
 
-    (i1, j1, o1), (i3, j3, o3) = summed(*light), summed(*star)
-    i0, j0, o = np.concatenate((i1, i3)), np.concatenate((j1, j3)), np.concatenate((o1, o3))
+    i0, j0, o = summed(*light)
     m, z = len(i0), len(lists)
     return pa.table({
-        "kind": pa.array([1] * len(i1) + [3] * len(i3) + [2] * z, pa.int32()),
+        "kind": pa.array([1] * m + [2] * z, pa.int32()),
         "a": pa.concat_arrays([pa.array(c[i0]), pa.nulls(z, pa.int64())]), "b": pa.concat_arrays([pa.array(c[j0]), pa.nulls(z, pa.int64())]),
         "o": pa.concat_arrays([pa.array(o), pa.array(np.array([len(v) for v in lists.values()], np.int64))]),
         "na": pa.concat_arrays([pa.array(n[i0]), pa.nulls(z, pa.int64())]), "nb": pa.concat_arrays([pa.array(n[j0]), pa.nulls(z, pa.int64())]),
@@ -309,6 +305,21 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
         return table(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(released(overlap), "a long, b long").distinct(), "join-links")
 
 
+def _stars(held: DataFrame) -> DataFrame:
+    """(a, b): for each list the pairs of its centre with the other holders, linear in the lists.
+
+    The centre is the holder with the largest share of its prefix in lists: of near copies, the text
+    that they were made from.  Pairs that share little serve no purpose here (the lists themselves
+    are exact), so those below two fifths of a prefix are left out."""
+    prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    share = held.groupBy("cls").agg((F.sum("w") / F.max(prefix)).alias("share"))
+    centre = held.join(share, "cls").groupBy("list").agg(F.max(F.struct("share", "n", "cls")).alias("c"))
+    fits = "cls <> c.cls and 3 * n <= 4 * c.n and 3 * c.n <= 4 * n"
+    star = held.join(centre, "list").filter(fits)
+    star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), "w", F.least("n", "c.n").alias("n"))
+    return star.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("n").alias("n")).filter("w >= 0.1 * n").select("a", "b")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_shingles, cls (equal sets share it), component_id for every row."""
     spark: SparkSession = docs.sparkSession
@@ -341,13 +352,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
         # Beyond the prefix at most ceil(3n/4) - 1 n-grams are left.
         rest = F.greatest(F.floor((3 * F.col("na") + 3) / 4), F.floor((3 * F.col("nb") + 3) / 4)) - 1
         reaches = F.col("o") + rest >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
-        pairs = counted.filter("kind <> 2").groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        joined(verified(rows, reps, table(pairs.filter(reaches).select("a", "b"), "join-pairs")))
-        at = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
-        lists = _longs("held", "cls")(counted.filter("kind = 2")).join(at, "cls")
-        spread = lists.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        pairs = counted.filter("kind = 1").groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         sizes = counted.filter("kind = 2").select("list", F.col("o").alias("w"))
-        lists = table(lists.join(spread.join(sizes, "list"), "list"), "join-lists")
+        held = table(_longs("held", "cls")(counted.filter("kind = 2")).join(sizes, "list").join(reps, "cls"), "join-held")
+        pairs = pairs.filter(reaches).select("a", "b").union(_stars(held))
+        joined(verified(rows, reps, table(pairs.distinct(), "join-pairs")))
+        at = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+        lists = held.join(at, "cls")
+        spread = lists.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        lists = table(lists.join(spread, "list"), "join-lists")
         last_level = level == LEVELS - 1
         few = lists if last_level else lists.filter(F.col("k") <= FEW)
         x, y = (few.select("list", "w", *(F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "comp"))) for s in "xy")

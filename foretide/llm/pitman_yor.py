@@ -211,19 +211,19 @@ def _gather(key, rows):
     return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[x.split(" ")[0] for x in _PARTS.split(", ")])
 
 
-def _sum(df: DataFrame) -> dict:
-    """The totals over all parts: at most eight rows of fixed size come to the driver."""
+def _sum(df: DataFrame, of) -> dict:
+    """The totals over all parts: `of` gives a row's share; at most eight rows of fixed size come to
+    the driver."""
 
     def run(batches):
-        total = None
+        total = np.zeros(2 * CONTEXTS + 4)
         for b in batches:
-            for cu, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.concatenate((np.frombuffer(cu, np.float64), np.frombuffer(s, np.float64)))
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
+            for r in b.to_pylist():
+                total += of(r)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-    rows = df.select("cu", "s").coalesce(8).mapInArrow(run, "x binary").collect()
+    with arrow_rows(df.sparkSession, 1):
+        rows = df.coalesce(8).mapInArrow(released(run), "x binary").collect()
     x = sum((np.frombuffer(r.x, np.float64) for r in rows), np.zeros(2 * CONTEXTS + 4))
     n, v, c0, t0 = x[-4:]
     return {"cu": x[:CONTEXTS], "tu": x[CONTEXTS : 2 * CONTEXTS], "n": n, "v": v, "c0": c0, "t0": t0}
@@ -249,20 +249,17 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col:
     with arrow_rows(spark, BLOCK):
         got = table(emitted.groupBy("part").applyInArrow(_gather, _PARTS), "lm-parts")
     mine = got.filter("kind = 0")
-    states = [_sum(mine)]
+    states = [_sum(mine.select("cu", "s"), lambda r: np.concatenate((np.frombuffer(r["cu"], np.float64), np.frombuffer(r["s"], np.float64))))]
     for k in range(1, sweeps + 1):
         known = spark.sparkContext.broadcast(list(states))
 
-        def sweep(batches, known=known, k=k):
-            for b in batches:
-                for r in b.to_pylist():
-                    own = _unpack(r)
-                    *_, last = _replay(own, r["part"], known.value, model, k)
-                    x = own.totals(*last)
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((x["cu"], x["tu"])).astype(np.float64).tobytes()], pa.binary()), pa.array([x["s"].tobytes()], pa.binary())], names=["cu", "s"])
+        def swept(r, known=known, k=k):
+            own = _unpack(r)
+            *_, last = _replay(own, r["part"], known.value, model, k)
+            x = own.totals(*last)
+            return np.concatenate((x["cu"], x["tu"], x["s"]))
 
-        with arrow_rows(spark, 1):
-            states.append(_sum(mine.select("part", "sizes", "ctx", "doc").mapInArrow(released(sweep), "cu binary, s binary")))
+        states.append(_sum(mine.select("part", "sizes", "ctx", "doc"), swept))
     known = spark.sparkContext.broadcast(states)
 
     def mark(batches):
