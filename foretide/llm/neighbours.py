@@ -43,41 +43,44 @@ class Block:
         p = np.hstack([self.v, rest[:, None]]).astype(np.float32) @ a
         self.order = [np.argsort(p[:, j], kind="stable").astype(np.int32) for j in range(a.shape[1])]
         self.sorted = [p[o, j] for j, o in enumerate(self.order)]
-        self.spread = max(float(p.std()), 1e-12)
+        self.spread, self.level = max(float(p.std()), 1e-12), 1
 
     def search(self, qid: int, q: np.ndarray, norm: float, k: int, threshold: float, verify: float, step: float, levels: int):
         """(ids, scores) of the k nearest found.  The query is scaled to the common norm."""
         n, m = len(self.ids), len(self.order)
         scaled = q * (norm / max(np.sqrt(q @ q), 1e-300))
         centre = scaled.astype(np.float32) @ self.a[:-1]
-        counts, need = np.zeros(n, np.uint16), int(np.ceil(threshold * m))
-        wanted = min(n, max(4 * k, int(np.ceil(verify * n))))
-        lows = [int(np.searchsorted(s, c)) for s, c in zip(self.sorted, centre)]
-        highs = list(lows)
-        for level in range(1, levels + 1):
+        counts, need = np.zeros(n, np.uint8), int(np.ceil(threshold * m))
+        wanted = min(n, max(20 * k, int(np.ceil(verify * n))))
+        lows = highs = None
+        # Windows start a level below where the last query's widening ended, and only ever widen.
+        for level in (*range(max(1, self.level - 1), levels), levels):
             w = step * level * self.spread
-            for j, (s, c, o) in enumerate(zip(self.sorted, centre, self.order)):
-                lo, hi = (0, n) if level == levels else (int(np.searchsorted(s, c - w)), int(np.searchsorted(s, c + w, "right")))
-                if lo < lows[j]:
-                    counts[o[lo : lows[j]]] += 1
-                    lows[j] = lo
-                if hi > highs[j]:
-                    counts[o[highs[j] : hi]] += 1
-                    highs[j] = hi
-            found = np.nonzero(counts >= need)[0]
+            lo, hi = ([0] * m, [n] * m) if level == levels else ([int(s.searchsorted(x)) for s, x in zip(self.sorted, centre - w)], [int(s.searchsorted(x, "right")) for s, x in zip(self.sorted, centre + w)])
+            for j, o in enumerate(self.order):
+                if lows is None:
+                    counts[o[lo[j] : hi[j]]] += 1
+                else:
+                    counts[o[lo[j] : lows[j]]] += 1
+                    counts[o[highs[j] : hi[j]]] += 1
+            lows, highs = lo, hi
+            found = np.flatnonzero(counts >= need)
             if len(found) >= wanted:
                 break
+        self.level = level
         found = found[self.ids[found] != qid]
-        score = (self.v[found] * q).sum(axis=1)
+        # Products of a whole block cost less than gathering rows; those of vectors not found are
+        # not looked at.  The best are scored anew, alike for equal vectors.
+        rough = (self.v @ q)[found]
         if len(found) > k:
-            top = np.partition(score, len(score) - k)[len(score) - k]
-            near = score >= top
-            found, score = found[near], score[near]
+            top = np.partition(rough, len(rough) - k)[len(rough) - k]
+            found = found[rough >= top - 1e-9 * max(1.0, abs(top))]
+        score = (self.v[found] * q).sum(axis=1)
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found][best], score[best]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 48, threshold: float = 0.5, verify: float = 0.5, step: float = 0.1, levels: int = 60, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 32, threshold: float = 0.5, verify: float = 0.6, step: float = 0.1, levels: int = 60, block_rows: int = 32768, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score.  Queries: rows whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
