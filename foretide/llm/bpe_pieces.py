@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import worker_cache
+from ._common import give_back, worker_cache
 
 #: Pre-tokens kept by a worker at a time, with their ids.
 CACHE = 400_000
@@ -149,6 +149,26 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
+    """All columns of docs, the ids of each text, and whether their inverse mapping gives it again."""
+
+    def run(batches):
+        own = codec(path, pattern)
+        try:
+            for b in batches:
+                texts = [x.as_py() or "" for x in b.column(at)]
+                ids = [own.encode(t) for t in texts]
+                same = pa.array([own.decode(i) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)])
+                lists = pa.array(ids, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists, same], schema=b.schema.append(pa.field(out_col, lists.type)).append(pa.field("round_trip", same.type)))
+        finally:
+            own.seen.clear()
+            give_back()
+
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
+
+
 def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """All columns of docs plus the ids of each text as an array of int (null text: empty)."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import WORD_RE
+from ._common import WORD_RE, released
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(("|", ">", "»", "·", "•", "/", "-", "::"))
@@ -129,4 +129,4 @@ def clean(docs: DataFrame, most_lost: float = 0.5, text_col: str = "text") -> Da
             columns[at] = pa.array([r[-1] for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(b.schema, columns)])).filter(pa.array([r[6] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
