@@ -40,10 +40,8 @@ def mix(spark, docs, sf_dir):
 
 def byte_bpe(spark, docs, sf_dir):
     """doc_id, source, ids, their number, and whether decoding them gives the text again."""
-    coded = bpe_pieces.encode_column(docs.select("doc_id", "source", "text"), MULTI_RANKS, PATTERN)
-    back = bpe_pieces.decode_column(coded, MULTI_RANKS, PATTERN)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return back.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    coded = bpe_pieces.round_trip(docs.select("doc_id", "source", "text"), MULTI_RANKS, PATTERN)
+    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("byte_bpe", byte_bpe)]
