@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_mod, table, text_of, worker_cache
+from ._common import crc_mod, released, table, text_of, worker_cache
 
 #: Insults of the languages at hand, which need no label to be known.
 SEEDS = ("idiot", "stupid", "moron", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "dumbass", "bastard", "dummkopf", "arschloch", "connard", "imbécile", "estúpido", "idiota", "pendejo")
@@ -37,7 +37,7 @@ EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
 LETTERS = re.compile(r"[^\W\d_]")
 STEMS = range(4, 8)
 SPAN = 4
-CACHE = 500_000
+CACHE = 250_000
 
 
 def normal(word: str) -> str:
@@ -52,17 +52,14 @@ class Lexicon:
         self.entries, self.trie, self.seen = entries, {}, {}
         self.stems = {e: w for e, (w, stem) in entries.items() if stem}
         self.stem_sizes = sorted({len(e) for e in self.stems})
-        self.front, self.back = set(), set()
+        self.shorter: set[str] = set()
         for e, (_, stem) in entries.items():
             if not stem and len(e) >= 5:
                 node = self.trie
                 for c in e:
                     node = node.setdefault(c, {})
                 node[""] = e
-                half = len(e) // 2  # one edit leaves one half of the entry in place
-                self.front.add(e[:half])
-                self.back.add(e[half:])
-        self.halves = sorted({len(x) for x in self.front}), sorted({len(x) for x in self.back})
+                self.shorter |= {e, *(e[:i] + e[i + 1 :] for i in range(len(e)))}
 
     def near(self, word: str) -> str | None:
         """The best entry within one edit: the trie is walked together with the states (rows of the
@@ -96,7 +93,9 @@ class Lexicon:
             for k in self.stem_sizes:
                 if w[:k] in self.stems and len(w) >= k:
                     found = (w[:k], self.stems[w[:k]], 0)
-            if found is None and len(w) >= 5 and (any(w[:k] in self.front for k in self.halves[0]) or any(w[-k:] in self.back for k in self.halves[1])):
+            # Within one edit two words agree, or one of their forms without a letter does: what can't
+            # match never reaches the automaton.
+            if found is None and len(w) >= 4 and (w in self.shorter or any(w[:i] + w[i + 1 :] in self.shorter for i in range(len(w)))):
                 e = self.near(w)
                 found = e and (e, self.entries[e][0], 1)
         self.seen[raw] = found
@@ -149,13 +148,21 @@ def fit(rows: list[list[float]], labels: list[int]) -> list[float]:
 
 def _count(batches):
     """(feature, toxic texts, other texts): words, and their beginnings marked by a star."""
+    held: dict[str, list[int]] = {}
+
+    def packed():
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["feature", "pos", "neg"])
+
     for batch in batches:
-        held: dict[str, list[int]] = {}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = {normal(w) for w in text.split()} - {""}
+        for text, toxic in zip(batch.column(0), batch.column(1)):
+            words = {normal(w) for w in text.as_py().split()} - {""}
             for f in words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}:
-                held.setdefault(f, [0, 0])[1 - toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["feature", "pos", "neg"])
+                held.setdefault(f, [0, 0])[1 - toxic.as_py()] += 1
+            if len(held) > 150_000:
+                yield packed()
+                held.clear()
+    if held:
+        yield packed()
 
 
 def learn_lexicon(sample: DataFrame, most: int = 500) -> dict[str, tuple[float, bool]]:
@@ -166,7 +173,7 @@ def learn_lexicon(sample: DataFrame, most: int = 500) -> dict[str, tuple[float,
     if not pos or not neg:
         return entries
     odds = F.log((F.col("pos") + 0.3) / (pos + 0.6)) - F.log((F.col("neg") + 0.3) / (neg + 0.6))
-    counts = sample.select("text", "toxic").mapInArrow(_count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.select("text", "toxic").mapInArrow(released(_count), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     good = counts.filter(F.col("pos") >= max(3, round(0.004 * pos))).withColumn("odds", odds).withColumn("sure", F.col("odds") / F.sqrt(1 / (F.col("pos") + 0.3) + 1 / (F.col("neg") + 0.3))).filter("odds > 1.6 and (odds > 2.5 or sure > 4)").orderBy(F.desc("pos"), "feature").limit(4 * most).collect()
     of = {r.feature: (r.pos, r.odds) for r in good}
     words = {f for f in of if not f.endswith("*")}
@@ -194,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
     half = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64(F.lit(13), id_col), id_col).limit(sample // 2) for t in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))  # at most `sample` rows
     rows = docs.select(id_col, F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(chosen, id_col).select("text", "toxic")
-    rows = table(rows.repartition(8), "toxic-sample").dropDuplicates(["text"])
+    rows = table(rows.repartition(24), "toxic-sample").dropDuplicates(["text"])
     rows = table(rows, "toxic-distinct")
     entries = learn_lexicon(rows)
 
@@ -204,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
             f = [features(*own.hits(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), b.column(1)], names=["f", "toxic"])
 
-    got = rows.mapInArrow(run, "f array<double>, toxic int").collect()  # bounded by `sample`
+    got = rows.mapInArrow(released(run), "f array<double>, toxic int").collect()  # bounded by `sample`
     if len({r.toxic for r in got}) < 2:
         return entries, PRIOR
     return entries, fit([list(r.f) for r in got], [r.toxic for r in got])
@@ -224,4 +231,4 @@ def score(docs: DataFrame, entries: dict, coefficients: list[float], id_col: str
                 named.append([e for e, _ in sorted({(e, w) for e, w, _, _ in hits}, key=lambda x: (-x[1], x[0]))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array(named, pa.list_(pa.string()))], names=[id_col, "score", "hits"])
 
-    return docs.select(id_col, text_of(F.col(text_col)).alias("text")).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType()))]))
+    return docs.select(id_col, text_of(F.col(text_col)).alias("text")).mapInArrow(released(run), T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType()))]))
