@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL = "__NULL__"
-MISSING_BIN = "__FDHG_CONTINUOUS_MISSING__"  # fixed value: the category of missing numbers
+MISSING_BIN = "__CONTINUOUS_MISSING__"  # the category of missing numbers
 DAY = 86_400_000_000
 
 

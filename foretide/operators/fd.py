@@ -81,11 +81,11 @@ def discovery_stats(df: DataFrame, edges: list[tuple[str, str]], table: str, mos
 STATS = ("majority_confidence", "entropy", "conflict_count", "support_count", "top1_margin")
 
 
-def features(targets: DataFrame, source: DataFrame, row_id: str, key: str, t_time: str, s_time: str, x: str, y: str, tie: list[str], horizon, table: str, strict: bool = True) -> DataFrame:
+def features(targets: DataFrame, source: DataFrame, row_id: str, key: str, t_time: str, s_time: str, x: str, y: str, tie: list[str], horizon, table: str, strict: bool = True, start: str = "f_fd__") -> DataFrame:
     """The edge's five statistics and indicators for each target: X as of the target's time, looked
     up in the map fitted on all source rows up to the horizon."""
     fitted = ambiguity_map(source.filter(F.col(s_time) <= horizon), x, y)
     got = asof_join(targets, source, row_id, [key], t_time, s_time, [x], tie, strict)
     joined = got.withColumn("lhs", token(got, x)).join(fitted, "lhs", "left")
-    prefix = f"f_fdhg__{table}:{x}__to__{y}__"  # fixed value: the output columns' names
+    prefix = f"{start}{table}:{x}__to__{y}__"
     return joined.select(row_id, *(F.col(s).cast("double").alias(prefix + s) for s in STATS), *(F.col(s).isNull().cast("int").alias(f"{prefix}{s}__is_missing") for s in STATS))

@@ -201,7 +201,7 @@ def candidate_edges(spark, sf_dir):
 
 
 def _fd_features_sql():
-    p = "f_fdhg__events:event_type__to__bin__"
+    p = "f_fd__events:event_type__to__bin__"
     cols = ", ".join(f'round(CAST(m.{s} AS DOUBLE), 6) + 0.0 AS "{p}{s}"' for s in fd.STATS)
     miss = ", ".join(f'CAST(m.{s} IS NULL AS INTEGER) AS "{p}{s}__is_missing"' for s in fd.STATS)
     return f"""
@@ -222,7 +222,7 @@ def fd_features_events(spark, sf_dir):
     b = e.withColumn("bin", bin_label(F.col("value"), quantile_bounds(e, "value", 4))).withColumnRenamed("user_id", "o_custkey")
     horizon = e.filter("event_id % 2 = 0").agg(F.max("ts")).first()[0]
     out = fd.features(o, b, "o_orderkey", "o_custkey", "o_orderdate", "ts", "event_type", "bin", ["event_id"], F.lit(horizon), "events")
-    return rounded(out, *(c for c in out.columns if c.startswith("f_fdhg") and not c.endswith("is_missing")))
+    return rounded(out, *(c for c in out.columns if c.startswith("f_fd") and not c.endswith("is_missing")))
 
 
 @query("""
