@@ -21,6 +21,8 @@ repeated rows link as equal sets do; an empty table gives no rows; other columns
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,6 +36,10 @@ from .components import components
 WORDS = 5
 LIGHT, FEW, LEVELS = 8, 32, 4
 SLICE = 2000
+#: Pairs that a task expands before it sums them.
+MEET = 1 << 20
+#: Six blocks are 21 tasks, so that no task has all lists.
+LEAST_BLOCKS = 6
 CACHE = 250_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -320,6 +326,76 @@ def _stars(held: DataFrame) -> DataFrame:
     return star.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("n").alias("n")).filter("w >= 0.1 * n").select("a", "b")
 
 
+def _reaching(key, rows):
+    """Pairs between two blocks whose summed overlap can reach the threshold.
+
+    Pairs are expanded list by list and summed whenever MEET of them are waiting, so what a task
+    holds follows from the blocks' size, not from the longest list."""
+    first, second = key[0].as_py(), key[1].as_py()
+    of, cls, n, comp, w, block = (np.asarray(rows.column(x)) for x in ("list", "cls", "n", "comp", "w", "block"))
+    order = np.argsort(of, kind="stable")
+    of, n, comp, w, block = of[order], n[order], comp[order], w[order], block[order]
+    names, who = np.unique(cls[order], return_inverse=True)
+    sizes = np.zeros(len(names), np.int64)
+    sizes[who] = n
+    pairs, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[tuple] = []
+
+    def settle():
+        nonlocal pairs, sums
+        code, at = np.unique(np.concatenate([pairs, *(x for x, _ in waiting)]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([sums, *(x for _, x in waiting)]), len(code)).astype(np.int64)
+        pairs = code
+        waiting.clear()
+
+    held = 0
+    bounds = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        left, right = (lo + np.flatnonzero(block[lo:hi] == b) for b in (first, second))
+        step = max(1, MEET // max(1, len(right)))
+        for at in range(0, len(left), step):
+            i, j = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
+            fits = (comp[i] != comp[j]) & (3 * n[i] <= 4 * n[j]) & (3 * n[j] <= 4 * n[i])
+            if first == second:
+                fits &= who[i] < who[j]
+            i, j = i[fits], j[fits]
+            a, b = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
+            waiting.append((a * len(names) + b, np.maximum(w[i], w[j])))
+            held += len(i)
+            if held > MEET:
+                settle()
+                held = 0
+    settle()
+    a, b = pairs // len(names), pairs % len(names)
+    # Beyond the prefix at most ceil(3n/4) - 1 n-grams are left.
+    rest = np.maximum((3 * sizes[a] + 3) // 4, (3 * sizes[b] + 3) // 4) - 1
+    can = sums + rest >= required(sizes[a], sizes[b])
+    return pa.table({"a": pa.array(names[a[can]]), "b": pa.array(names[b[can]])})
+
+
+def _between(lists: DataFrame, light: DataFrame) -> DataFrame:
+    """(a, b): pairs across components that share lists and can reach the threshold.
+
+    What a pair shares in its prefixes: in these lists, in longer ones (at most what is left to the
+    next level, which sees such a pair again), and in light n-grams, which come in as lists of two.
+    Holders are dealt into blocks, and each pair of blocks is a task that sums a pair's whole
+    overlap, so no row is made for a pair and a list.  The number of blocks grows with the pairs."""
+    most = lists.groupBy("list").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("m") * F.col("m") / 2)).collect()[0][0] or 0
+    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(most / MEET)))
+    known = lists.select("cls", "n", "comp").distinct()
+    own = light.groupBy("a", "b").agg(F.sum("o").alias("w"))
+    for s in "ab":
+        own = own.join(known.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"comp{s}")), s)
+    ends = F.array(*(F.struct(F.col(s).alias("cls"), F.col(f"n{s}").alias("n"), F.col(f"comp{s}").alias("comp")) for s in "ab"))
+    two = own.filter("compa <> compb").select((-F.abs(F.xxhash64("a", "b") / 2).cast("long") - 1).alias("list"), "w", F.explode(ends).alias("x"))
+    held = lists.select("list", "w", "cls", "n", "comp").union(two.select("list", "w", "x.cls", "x.n", "x.comp"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
+    present = held.groupBy("list").agg(F.collect_set("block").alias("present"))  # at most `blocks` numbers
+    dealt = held.join(present, "list").withColumn("other", F.explode("present"))
+    dealt = dealt.select(F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "list", "cls", "n", "comp", "w")
+    return dealt.groupBy("first", "second").applyInArrow(_reaching, "a long, b long")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragment_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, n_shingles, cls (equal sets share it), component_id for every row."""
     spark: SparkSession = docs.sparkSession
@@ -363,15 +439,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
         lists = table(lists.join(spread, "list"), "join-lists")
         last_level = level == LEVELS - 1
         few = lists if last_level else lists.filter(F.col("k") <= FEW)
-        x, y = (few.select("list", "w", *(F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "comp"))) for s in "xy")
-        across = x.join(y.drop("w"), "list").filter("clsx < clsy and compx <> compy and 3 * nx <= 4 * ny and 3 * ny <= 4 * nx")
-        across = across.select(F.col("clsx").alias("a"), F.col("clsy").alias("b"), F.col("w").alias("o"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
-        # What a pair shares in its prefixes: in these lists, in longer ones (at most what is left to
-        # the next level, which sees such a pair again), and in light n-grams.
-        across = across.groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        light = counted.filter("kind = 1").groupBy("a", "b").agg(F.sum("o").alias("p"))
-        across = across.join(light, ["a", "b"], "left").withColumn("o", F.col("o") + F.coalesce("p", F.lit(0)))
-        across = table(across.filter(reaches).select("a", "b"), "join-across")
+        across = table(_between(few, counted.filter("kind = 1")), "join-across")
         if across.limit(1).count():
             joined(verified(rows, reps, across))
         many = lists.filter(F.col("k") > FEW)
