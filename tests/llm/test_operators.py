@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +327,28 @@ def test_pipeline(spark, rows):
             assert collections.Counter(r.doc_id for r in docs.collect()) == copies
     last = corpus_pipeline.STAGES[-1][1](spark, docs, small)
     assert last.count() == docs.count() and last.filter("not round_trip").count() == 0
+
+
+def test_block_sums_equal_brute_force(monkeypatch):
+    """Pairs of blocks give every pair once, with its overlap summed over lists, at any batch size."""
+    rng = np.random.default_rng(7)
+    size = {c: int(rng.integers(20, 30)) for c in range(100, 130)}
+    lists = [(of, c, int(w)) for of, w in enumerate(rng.integers(1, 5, 40)) for c in rng.choice(list(size), rng.integers(2, 14), replace=False).tolist()]
+    shared = {}
+    for of, a, w in lists:
+        for other, b, _ in lists:
+            if of == other and a < b and a % 7 != b % 7 and 3 * size[a] <= 4 * size[b] and 3 * size[b] <= 4 * size[a]:
+                shared[a, b] = shared.get((a, b), 0) + w
+    rest = lambda a, b: max((3 * size[a] + 3) // 4, (3 * size[b] + 3) // 4) - 1
+    expected = {(a, b) for (a, b), o in shared.items() if o + rest(a, b) >= jaccard_join.required(size[a], size[b])}
+    assert 0 < len(expected) < len(shared)
+    for meet in (3, 1 << 20):
+        monkeypatch.setattr(jaccard_join, "MEET", meet)
+        found = []
+        for first in range(3):
+            for second in range(first, 3):
+                rows = [r for r in lists if r[1] % 3 in (first, second)]
+                table = pa.table({"list": [r[0] for r in rows], "cls": [r[1] for r in rows], "n": [size[r[1]] for r in rows], "comp": [r[1] % 7 for r in rows], "w": [r[2] for r in rows], "block": [r[1] % 3 for r in rows]})
+                out = jaccard_join._reaching((pa.scalar(first), pa.scalar(second)), table).to_pydict()
+                found += [(min(p), max(p)) for p in zip(out["a"], out["b"])]
+        assert len(found) == len(set(found)) and set(found) == expected
