@@ -8,7 +8,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from .operators import fd, metrics, shaping
+from .operators import corruption, fd, metrics, shaping
 from .operators.asof import asof_audit, asof_join, history, strict_prior
 from .functions.tokens import bin_label, quantile_bounds
 from .plans.program import HistorySpec, PairSpec, Task, compile_task
@@ -413,3 +413,10 @@ def compiled_pairwise_program(spark, sf_dir):
     task = Task("o_orderkey", "o_orderdate", "o_totalprice", ("o_orderstatus",), (HistorySpec("left", "o_custkey", "user_id", "ts", "event_type"),), PairSpec(("o_custkey", "o_orderstatus"), ("o_custkey", "o_orderstatus"), "o_orderdate"))
     out = compile_task(task, o, {"left": e, "pair": o})
     return rounded(out, f"{_P}left__days_since_last", f"{_P}pair__days_since_last")
+
+
+@query()
+def fd_corruption_summary(spark, sf_dir):
+    """Seeded hashes choose the swaps, so there is no SQL; tests hold it against its invariants."""
+    o = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return corruption.corruption_summary(o, corruption.corrupt(o, "o_orderkey", "o_custkey", "o_orderstatus", 0.5, 17), "o_orderkey", "o_custkey", "o_orderstatus")

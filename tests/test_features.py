@@ -137,3 +137,55 @@ def test_entry_without_training_data_operators(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert said.stdout.split()[0] == str(len(queries.QUERIES))
+
+
+def test_corruption_keeps_marginals_and_grows_with_the_rate(spark):
+    from foretide.operators import corruption
+
+    made = [(i, f"x{i % 4}", None if i % 17 == 0 else f"y{i % 4 if i % 10 else (i + 1) % 4}", i * 3) for i in range(400)]
+    df = spark.createDataFrame(made, "id int, x string, y string, z int").cache()
+
+    def changed(rate, seed=5):
+        rows = corruption.corrupt(df, "id", "x", "y", rate, seed).orderBy("id").collect()
+        assert [(r.id, r.x, r.z) for r in rows] == [(a, b, d) for a, b, _, d in made]
+        assert sorted(map(str, (r.y for r in rows))) == sorted(str(m[2]) for m in made)
+        out = {r.id: r.y for r, m in zip(rows, made) if r.y != m[2]}
+        assert not any(made[i][2] is None for i in out)
+        return out
+
+    none, half, whole = changed(0.0), changed(0.5), changed(1.0)
+    assert not none and 0 < len(half) < len(whole) and set(half) <= set(whole) and len(whole) % 2 == 0
+    assert changed(0.5) == half
+    after = corruption.corrupt(df, "id", "x", "y", 1.0, 5)
+    for r in fd.violations(after, "x", "y").collect():
+        assert 2 * r.violations <= r.support
+    assert corruption.corrupt(df.limit(0), "id", "x", "y", 1.0, 5).count() == 0
+    for bad, rate in ((df, 1.5), (df.union(df), 0.5)):
+        with pytest.raises(ValueError):
+            corruption.corrupt(bad, "id", "x", "y", rate, 5)
+
+
+def test_replayed_edges(spark, tmp_path):
+    from foretide.sources import replay
+
+    tables = {"t": spark.createDataFrame([(1, "a", 2.0)], "id int, x string, v double")}
+    edges = [replay.Edge("e1", "t", ("x", "id"), "v_bin", {"v_bin": "v"}), replay.Edge("e2", "t", ("id",), "x")]
+    (tmp_path / "e.json").write_text(replay.dump_edges(edges))
+    (tmp_path / "e.csv").write_text("edge_id,source_table,lhs_columns,rhs_column\ne1,t,x|id,v\n")
+    assert replay.load_edges(spark, str(tmp_path / "e.json"), tables) == edges
+    assert replay.load_edges(spark, str(tmp_path / "e.json"), tables, 1) == edges[:1]
+    assert replay.load_edges(spark, str(tmp_path / "e.csv"), tables)[0].lhs_columns == ("x", "id")
+    assert replay.parse("[]", "json") == []
+    for bad in ({"edge_id": "e", "source_table": "u", "lhs_columns": "x", "rhs_column": "v"}, {"edge_id": "e", "source_table": "t", "lhs_columns": "x", "rhs_column": "w"}, {"edge_id": "e", "source_table": "t"}):
+        with pytest.raises(ValueError):
+            replay.check([replay._edge(bad)], tables)
+    for text, suffix in (("edge_id,source_table,lhs_columns,rhs_column\n", "csv"), ('{"edges": []}', "json"), ("", "txt")):
+        with pytest.raises(ValueError):
+            replay.parse(text, suffix)
+
+
+def test_corruption_of_orders(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    r = queries.QUERIES["fd_corruption_summary"](spark, SMALL).first()
+    assert 0 < r.changed_rows < r.eligible_rows and r.marginals_preserved and r.violations_after > r.violations_before
