@@ -1,21 +1,25 @@
 """A hierarchical Pitman-Yor language model of word pairs.
 
 Restaurants: one for each context, all with the unigram restaurant as parent, whose base is uniform
-over the training words and one unknown.  A context is a hash class of the word before (`contexts`
-classes, a parameter of the model; the start and the end of a text are one word).  Customers are
-training tokens; the seating is kept as tables per (context, word) and sampled by blocked Gibbs:
-each sweep seats all customers of every pair anew, given the others' tables of the last sweep.
-Predictive probabilities are averaged over the kept sweeps.
+over the training words and one unknown.  A context is the word before, by its whole 64-bit hash
+(the start and the end of a text are one word).  Customers are training tokens; the seating is kept
+as tables per (context, word) and sampled by blocked Gibbs: each sweep seats all customers of every
+pair anew, given the others' tables of the last sweep.  The first `burn` sweeps are discarded;
+predictive probabilities are averaged over the `sweeps` after them.
 
 Tokens are dealt by word into `parts`, so that a part holds all of a word's pairs and its parent
-probability.  What couples parts is of fixed size (customers and tables per context) and is summed
-between sweeps.  All tokens of all texts are counted and scored.
+probability.  What couples parts are the customers and tables of each context.  They are a table of
+their own, dealt by ranges of the context's hash into as many buckets: after a sweep every part sends
+its share, a bucket adds up and sends each part the totals of the contexts that it holds.  Nothing
+per context or per word comes to the driver.  All tokens of all texts are counted and scored.
 
 Defined cases: null and empty texts are their end token alone; repeated rows train and are scored
 one by one; without training rows every word is unknown; an empty table gives no rows.
 """
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +30,6 @@ from pyspark.sql import types as T
 
 from ._common import arrow_rows, crc_mod, give_back, released, table, text_of
 
-CONTEXTS = 1 << 14
 #: Documents of a block; their numbers and the training bit take 12 bits.
 BLOCK = 2000
 WIDE = 4096
@@ -50,10 +53,6 @@ def tokens(text: str, kept: dict) -> np.ndarray:
     return np.fromiter([*(get(w) or word_hash(kept, w) for w in words), 1], np.uint64, len(words) + 1)
 
 
-def context_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(7) & np.uint64(CONTEXTS - 1)).astype(np.uint16)
-
-
 def _emit(parts: int):
     names = ["part", "kind", "block", "a", "b", "c", "d"]
 
@@ -70,11 +69,10 @@ def _emit(parts: int):
                 h = np.concatenate(each)
                 before = np.roll(h, 1)
                 before[0] = END
-                ctx = context_of(before)
                 doc = np.repeat(np.arange(len(each), dtype=np.uint16) << 1 | train.astype(np.uint16), sizes)
                 part = (h >> np.uint64(33)) % np.uint64(parts)
-                order = np.lexsort((ctx, h, part))
-                h, ctx, doc, part = h[order], ctx[order], doc[order], part[order]
+                order = np.lexsort((before, h, part))
+                h, ctx, doc, part = h[order], before[order], doc[order], part[order]
                 ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
                 rows: list[list] = [[] for _ in names]
                 for p in range(parts):
@@ -115,19 +113,13 @@ def seat(count: np.ndarray, fresh: np.ndarray, d: float, rng: np.random.Generato
 
 
 class Part:
-    """One part's tokens, sorted by word and context, and their training counts."""
-
-    def __init__(self, word_sizes: np.ndarray, ctx: np.ndarray, doc: np.ndarray):
-        n = len(ctx)
-        first = np.zeros(n, bool)
-        first[1:] = ctx[1:] != ctx[:-1]
-        first[(np.cumsum(word_sizes, dtype=np.int64) - word_sizes)[word_sizes > 0]] = True
-        new = np.flatnonzero(first)
-        self.runs = np.diff(np.append(new, n)).astype(np.int32)
-        self.word = np.repeat(np.arange(len(word_sizes), dtype=np.int32), word_sizes)[new]
-        self.ctx = ctx[new].astype(np.int32)
-        self.count = np.add.reduceat((doc & np.uint32(1)).astype(np.int32), new) if n else np.zeros(0, np.int32)
-        self.word_count = np.bincount(self.word, self.count, len(word_sizes)).astype(np.int64)
+    """One part's pairs, sorted by word and context, with their training counts.  `ctx` numbers the
+    part's own contexts; there are `contexts` of them."""
+
+    def __init__(self, sizes: np.ndarray, ctx: np.ndarray, count: np.ndarray, contexts: int):
+        self.word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.ctx, self.count, self.contexts = ctx, count.astype(np.int64), contexts
+        self.word_count = np.bincount(self.word, self.count, len(sizes)).astype(np.int64)
         self.has = self.count > 0
 
     def sweep(self, state: dict, model: dict, seed: tuple):
@@ -152,15 +144,66 @@ class Part:
     def root(c, t, totals: dict, model: dict) -> np.ndarray:
         return (c - model["d0"] * t + (model["theta0"] + model["d0"] * totals["t0"]) / (totals["v"] + 1.0)) / (totals["c0"] + model["theta0"])
 
-    def totals(self, t, root_c, root_t) -> dict:
-        return {"cu": np.bincount(self.ctx, self.count, CONTEXTS), "tu": np.bincount(self.ctx, t, CONTEXTS), "s": np.array([self.count.sum(), (self.word_count > 0).sum(), root_c.sum(), root_t.sum()], np.float64)}
+    def shares(self, t) -> tuple[np.ndarray, np.ndarray]:
+        """The part's customers and tables of each of its contexts."""
+        return np.bincount(self.ctx, self.count, self.contexts), np.bincount(self.ctx, t, self.contexts)
+
+
+#: Kinds of rows: a part's pairs, a block's documents, a part's seating after a step, a part's share of
+#: a bucket's contexts, and the totals of these contexts.
+PAIRS, DOCUMENTS, SEATING, SHARE, TOTALS = range(5)
+_KEYS = ["part", "kind", "step", "bucket", "a", "b", "c", "d", "n", "v", "c0", "t0"]
+_ROWS = "part int, kind int, step int, bucket int, a binary, b binary, c binary, d binary, n double, v double, c0 double, t0 double"
+_PARTS = _ROWS + ", blocks array<string>, runs binary, doc binary"
+_TYPES = [*[pa.int32()] * 4, *[pa.binary()] * 4, *[pa.float64()] * 4, pa.list_(pa.string()), pa.binary(), pa.binary()]
+
+
+def _rows(out: list[tuple], schema: str):
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    return pa.table([pa.array([x[i] if i < len(x) else None for x in out], _TYPES[i]) for i in range(len(names))], names=names)
+
+
+def _shares(part: int, step: int, contexts: np.ndarray, own: Part, t: np.ndarray, buckets: int) -> list[tuple]:
+    """A row for every bucket that holds some of the part's contexts (sorted)."""
+    cu, tu = own.shares(t)
+    at = [*np.searchsorted(contexts, np.array([(x << 64) // buckets for x in range(buckets)], np.uint64)).tolist(), len(contexts)]
+    return [(part, SHARE, step, x, contexts[lo:hi].tobytes(), cu[lo:hi].astype(np.int64).tobytes(), tu[lo:hi].astype(np.int64).tobytes()) for x, (lo, hi) in enumerate(zip(at, at[1:])) if lo < hi]
 
 
-def _unpack(row: dict) -> Part:
-    return Part(np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["ctx"], np.uint16), np.frombuffer(row["doc"], np.uint32))
+def _settle(key, rows):
+    """Adds up one bucket's contexts over all parts, and gives each part the totals of those that it holds."""
+    found = sorted(zip(rows.column("part").to_pylist(), rows.column("step").to_pylist(), *(_buffers(rows.column(x)) for x in "abc")), key=lambda x: x[0])
+    at = np.unique(np.concatenate([np.frombuffer(x[2], np.uint64) for x in found]), return_inverse=True)[1]
+    cu, tu = (np.bincount(at, np.concatenate([np.frombuffer(x[i], np.int64) for x in found])).astype(np.int64) for i in (3, 4))
+    out, lo = [], 0
+    for part, step, a, _, _ in found:
+        hi = lo + a.size // 8
+        out.append((part, TOTALS, step, key[0].as_py(), cu[at[lo:hi]].tobytes(), tu[at[lo:hi]].tobytes()))
+        lo = hi
+    return _rows(out, _ROWS)
 
 
-_PARTS = "part int, kind int, blocks array<string>, sizes binary, ctx binary, doc binary, cu binary, s binary"
+class Held:
+    """The rows of one part: its pairs, seatings by step, and context totals by step."""
+
+    def __init__(self, rows):
+        of: dict = {}
+        for r in rows.select(_KEYS[:8]).to_pylist():
+            of.setdefault((r["kind"], r["step"]), []).append(r)
+        base = of[PAIRS, 0][0]
+        self.contexts = np.frombuffer(base["d"], np.uint64)
+        self.own = Part(*(np.frombuffer(base[x], np.uint32) for x in "abc"), len(self.contexts))
+        self.of = of
+
+    def totals(self, step: int, what: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(r[what], np.int64) for r in sorted(self.of[TOTALS, step], key=lambda r: r["bucket"])])
+
+    def roots(self, step: int) -> dict:
+        r = self.of.get((SEATING, step))
+        return {"root_c": np.frombuffer(r[0]["b"], np.int64), "root_t": np.frombuffer(r[0]["c"], np.float64)} if r else {}
+
+    def tables(self, step: int) -> np.ndarray:
+        return np.frombuffer(self.of[SEATING, step][0]["a"], np.uint32)
 
 
 def _buffers(column):
@@ -168,77 +211,69 @@ def _buffers(column):
     return (chunk[i].as_buffer() for chunk in column.chunks for i in range(len(chunk)))
 
 
-def _gather(key, rows):
-    """Merges a part's tokens of all blocks into one row, and passes on the blocks' documents."""
-    part = key[0].as_py()
-    kind = np.asarray(rows.column("kind"))
-    tok, out = rows.filter(pa.array(kind == 0)), []
-    found = []
-    for block, a, b, c, d in zip(tok.column("block").to_pylist(), *(_buffers(tok.column(x)) for x in "abcd")):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
-        found.append((block, a, b, np.concatenate(([0], np.cumsum(b, dtype=np.int64))), np.frombuffer(c, np.uint16), np.frombuffer(d, np.uint16)))
-    found.sort(key=lambda x: x[0])
-    blocks = [x[0] for x in found]
-    if blocks:
-        sizes_, ctx_, doc_ = [], [], []
-        for k in range(RANGES):
-            hs, cs, ds = [], [], []
-            for at, (_, a, b, upto, c, d) in enumerate(found):
-                lo, hi = (np.searchsorted(a, np.uint64((x << 64) // RANGES)) if x < RANGES else len(a) for x in (k, k + 1))
-                hs.append(np.repeat(a[lo:hi], b[lo:hi]))
-                cs.append(c[upto[lo] : upto[hi]])
-                ds.append(d[upto[lo] : upto[hi]].astype(np.uint32) + np.uint32(at * WIDE))
-            h, c, d = np.concatenate(hs), np.concatenate(cs), np.concatenate(ds)
-            del hs, cs, ds
-            order = np.lexsort((c, h))
-            h, c, d = h[order], c[order], d[order]
-            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-            sizes_.append(np.diff(np.append(new, len(h))).astype(np.uint32))
-            ctx_.append(c)
-            doc_.append(d)
-            del h, order
-        sizes, c, d = np.concatenate(sizes_), np.concatenate(ctx_), np.concatenate(doc_)
-        del sizes_, ctx_, doc_, found
-        give_back()
-        own = Part(sizes, c, d)
-        cu = np.bincount(own.ctx, own.count, CONTEXTS).astype(np.float64)
-        tu = np.bincount(own.ctx, own.has, CONTEXTS).astype(np.float64)
-        s = np.array([own.count.sum(), (own.word_count > 0).sum(), own.has.sum(), (own.word_count > 0).sum()], np.float64)
-        out.append((part, 0, blocks, sizes.tobytes(), c.tobytes(), d.tobytes(), np.concatenate((cu, tu)).tobytes(), s.tobytes()))
-    for r in rows.filter(pa.array(kind == 1)).to_pylist():
-        out.append((part, 1, [r["block"]], r["b"], r["c"], r["d"], b"", b""))
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 5]
-    return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[x.split(" ")[0] for x in _PARTS.split(", ")])
-
-
-def _sum(df: DataFrame, of) -> dict:
-    """The totals over all parts: `of` gives a row's share; at most eight rows of fixed size come to
-    the driver."""
+def _gather(parts: int):
+    def run(key, rows):
+        """Merges a part's tokens of all blocks into one row, and passes on the blocks' documents."""
+        part = key[0].as_py()
+        kind = np.asarray(rows.column("kind"))
+        tok, out = rows.filter(pa.array(kind == 0)), []
+        found = []
+        for block, a, b, c, d in zip(tok.column("block").to_pylist(), *(_buffers(tok.column(x)) for x in "abcd")):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+            found.append((block, a, b, np.concatenate(([0], np.cumsum(b, dtype=np.int64))), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint16)))
+        found.sort(key=lambda x: x[0])
+        blocks = [x[0] for x in found]
+        if blocks:
+            sizes_, ctx_, runs_, count_, doc_ = [], [], [], [], []
+            for k in range(RANGES):
+                hs, cs, ds = [], [], []
+                for at, (_, a, b, upto, c, d) in enumerate(found):
+                    lo, hi = (np.searchsorted(a, np.uint64((x << 64) // RANGES)) if x < RANGES else len(a) for x in (k, k + 1))
+                    hs.append(np.repeat(a[lo:hi], b[lo:hi]))
+                    cs.append(c[upto[lo] : upto[hi]])
+                    ds.append(d[upto[lo] : upto[hi]].astype(np.uint32) + np.uint32(at * WIDE))
+                h, c, d = np.concatenate(hs), np.concatenate(cs), np.concatenate(ds)
+                del hs, cs, ds
+                if not len(h):
+                    continue
+                order = np.lexsort((c, h))
+                h, c, d = h[order], c[order], d[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
+                runs_.append(np.diff(np.append(new, len(h))).astype(np.uint32))
+                count_.append(np.add.reduceat(d & np.uint32(1), new).astype(np.uint32))
+                ctx_.append(c[new])
+                h = h[new]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                sizes_.append(np.diff(np.append(first, len(h))).astype(np.uint32))
+                doc_.append(d)
+                del h, c, order
+            sizes, runs, count, doc = (np.concatenate(x) for x in (sizes_, runs_, count_, doc_))
+            contexts, ctx = np.unique(np.concatenate(ctx_), return_inverse=True)
+            del sizes_, ctx_, runs_, count_, doc_, found
+            give_back()
+            own = Part(sizes, ctx, count, len(contexts))
+            words = float((own.word_count > 0).sum())
+            out.append((part, PAIRS, 0, -1, sizes.tobytes(), ctx.astype(np.uint32).tobytes(), count.tobytes(), contexts.tobytes(), float(own.count.sum()), words, float(own.has.sum()), words, blocks, runs.tobytes(), doc.tobytes()))
+            out += _shares(part, 0, contexts, own, own.has, parts)
+        for r in rows.filter(pa.array(kind == 1)).to_pylist():
+            out.append((part, DOCUMENTS, 0, -1, None, r["b"], r["c"], r["d"], None, None, None, None, [r["block"]]))
+        return _rows(out, _PARTS)
+
+    return run
 
-    def run(batches):
-        total = np.zeros(2 * CONTEXTS + 4)
-        for b in batches:
-            for r in b.to_pylist():
-                total += of(r)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
-    with arrow_rows(df.sparkSession, 1):
-        rows = df.coalesce(8).mapInArrow(released(run), "x binary").collect()
-    x = sum((np.frombuffer(r.x, np.float64) for r in rows), np.zeros(2 * CONTEXTS + 4))
-    n, v, c0, t0 = x[-4:]
-    return {"cu": x[:CONTEXTS], "tu": x[CONTEXTS : 2 * CONTEXTS], "n": n, "v": v, "c0": c0, "t0": t0}
+def _free(spark) -> None:
+    """Shuffle files go when the driver's JVM collects what refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def _replay(own: Part, part: int, states: list[dict], model: dict, upto: int):
-    """Samples 1..upto of a part, the same in every run.  State k holds the totals that sweep k + 1 uses."""
-    root: dict = {}
-    for k in range(upto):
-        t, rc, rt = own.sweep(states[k] | root, model, (20240607, part, k))
-        root = {"root_c": rc, "root_t": rt}
-        yield t, rc, rt
+def _sums(df: DataFrame) -> dict:
+    """Training tokens and words, root customers and root tables: one row."""
+    return {x: v or 0.0 for x, v in df.agg(*(F.sum(x).alias(x) for x in _KEYS[8:])).first().asDict().items()}
 
 
-def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", hold: int = 5, held: int = 1, model: dict | None = None) -> DataFrame:
+def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", hold: int = 5, held: int = 1, model: dict | None = None, burn: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every text."""
     spark = docs.sparkSession
     model = {"d": 0.8, "theta": 4.0, "d0": 0.5, "theta0": 1.0} | (model or {})
@@ -247,47 +282,64 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col:
     parts = max(4, -(-size // part_bytes))
     emitted = rows.mapInArrow(released(_emit(parts)), "part int, kind int, block string, a binary, b binary, c binary, d binary")
     with arrow_rows(spark, BLOCK):
-        got = table(emitted.groupBy("part").applyInArrow(_gather, _PARTS), "lm-parts")
-    mine = got.filter("kind = 0")
-    states = [_sum(mine.select("cu", "s"), lambda r: np.concatenate((np.frombuffer(r["cu"], np.float64), np.frombuffer(r["s"], np.float64))))]
-    for k in range(1, sweeps + 1):
-        known = spark.sparkContext.broadcast(list(states))
-
-        def swept(r, known=known, k=k):
-            own = _unpack(r)
-            *_, last = _replay(own, r["part"], known.value, model, k)
-            x = own.totals(*last)
-            return np.concatenate((x["cu"], x["tu"], x["s"]))
-
-        states.append(_sum(mine.select("part", "sizes", "ctx", "doc"), swept))
-    known = spark.sparkContext.broadcast(states)
-
-    def mark(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                own, st = _unpack(r), known.value
-                p = np.zeros(len(own.count))
-                for k, (t, rc, rt) in enumerate(_replay(own, r["part"], st, model, sweeps), 1):
-                    up = Part.root(rc, rt, st[k], model)[own.word]
-                    cu, tu = st[k]["cu"][own.ctx], st[k]["tu"][own.ctx]
-                    p += (own.count - model["d"] * t + (model["theta"] + model["d"] * tu) * up) / (cu + model["theta"])
-                n, v = st[0]["n"], st[0]["v"]
-                wc = own.word_count[own.word]
-                values = (np.log10(p / sweeps), np.log10((wc + 0.5) / (n + 0.5 * (v + 1))), wc > 0)
-                runs, blocks_here = own.runs, len(r["blocks"])
-                del own, p, wc
-                at = np.frombuffer(r["doc"], np.uint32)
-                blk, doc = at // WIDE, at % WIDE >> np.uint32(1)
-                at = blk.astype(np.int64) * BLOCK + doc
-                sums = [np.bincount(at, np.repeat(w, runs), blocks_here * BLOCK).reshape(-1, BLOCK) for w in values]
-                last = np.zeros(blocks_here, np.int64)
-                np.maximum.at(last, blk, doc.astype(np.int64) + 1)
-                out = [[], [], [], [], []]
-                for i, name in enumerate(r["blocks"]):
-                    z = last[i]
-                    for o, val in zip(out, (name, r["part"], sums[0][i, :z].tobytes(), sums[1][i, :z].tobytes(), sums[2][i, :z].astype(np.uint16).tobytes() if sums[2][i].max() < 65536 else sums[2][i, :z].astype(np.uint32).tobytes())):
-                        o.append(val)
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "part", "x", "y", "z"])
+        got = table(emitted.groupBy("part").applyInArrow(_gather(parts), _PARTS), "lm-parts")
+    del emitted
+    _free(spark)
+    mine = got.filter(F.col("kind") == PAIRS)
+    pairs = mine.select(_KEYS)
+    shares, states, totals, seatings = got.filter(F.col("kind") == SHARE).select(_KEYS), [_sums(pairs)], [], []
+
+    def sweep(k: int, state: dict):
+        def run(key, rows):
+            part, held_ = key[0].as_py(), Held(rows)
+            t, root_c, root_t = held_.own.sweep(state | {"tu": held_.totals(k - 1, "b")} | held_.roots(k - 1), model, (20240607, part, k - 1))
+            seating = (part, SEATING, k, -1, t.astype(np.uint32).tobytes(), root_c.tobytes(), root_t.astype(np.float64).tobytes(), None, state["n"], state["v"], float(root_c.sum()), float(root_t.sum()))
+            return _rows([seating, *_shares(part, k, held_.contexts, held_.own, t, parts)], _ROWS)
+
+        return run
+
+    with arrow_rows(spark, 1):
+        for k in range(1, burn + sweeps + 1):
+            totals.append(table(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
+            rows = pairs.unionByName(totals[-1])
+            if seatings:
+                rows = rows.unionByName(seatings[-1].withColumn("a", F.lit(None).cast("binary")))
+            moved = table(rows.groupBy("part").applyInArrow(sweep(k, states[-1]), _ROWS), "lm-sweep")
+            seatings.append(moved.filter(F.col("kind") == SEATING))
+            shares = moved.filter(F.col("kind") == SHARE)
+            states.append(states[0] | {x: v for x, v in _sums(seatings[-1]).items() if x in ("c0", "t0")})
+            _free(spark)
+        totals.append(table(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
+    kept = range(burn + 1, burn + sweeps + 1)
+
+    def mark(key, rows):
+        held_ = Held(rows)
+        own, p = held_.own, np.zeros(len(held_.own.count))
+        cu = held_.totals(0, "a")[own.ctx]
+        for k in kept:
+            root = held_.roots(k)
+            up = Part.root(root["root_c"], root["root_t"], states[k], model)[own.word]
+            p += (own.count - model["d"] * held_.tables(k) + (model["theta"] + model["d"] * held_.totals(k, "b")[own.ctx]) * up) / (cu + model["theta"])
+        part, r = key[0].as_py(), rows.filter(pa.array(np.asarray(rows.column("kind")) == PAIRS)).select(["blocks", "runs", "doc"]).to_pylist()[0]
+        del held_, cu
+        st = states
+        n, v = st[0]["n"], st[0]["v"]
+        wc = own.word_count[own.word]
+        values = (np.log10(p / sweeps), np.log10((wc + 0.5) / (n + 0.5 * (v + 1))), wc > 0)
+        runs, blocks_here = np.frombuffer(r["runs"], np.uint32), len(r["blocks"])
+        del own, p, wc
+        at = np.frombuffer(r["doc"], np.uint32)
+        blk, doc = at // WIDE, at % WIDE >> np.uint32(1)
+        at = blk.astype(np.int64) * BLOCK + doc
+        sums = [np.bincount(at, np.repeat(w, runs), blocks_here * BLOCK).reshape(-1, BLOCK) for w in values]
+        last = np.zeros(blocks_here, np.int64)
+        np.maximum.at(last, blk, doc.astype(np.int64) + 1)
+        out = [[], [], [], [], []]
+        for i, name in enumerate(r["blocks"]):
+            z = last[i]
+            for o, val in zip(out, (name, part, sums[0][i, :z].tobytes(), sums[1][i, :z].tobytes(), sums[2][i, :z].astype(np.uint16).tobytes() if sums[2][i].max() < 65536 else sums[2][i, :z].astype(np.uint32).tobytes())):
+                o.append(val)
+        return pa.Table.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "part", "x", "y", "z"])
 
     def total(key, rows):
         found = sorted(rows.to_pylist(), key=lambda r: r["part"])
@@ -303,7 +355,12 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col:
         return pa.table({"doc_id": pa.array([None if m else i for i, m in ids.tolist()], pa.int64()), "held_out": pa.array(np.frombuffer(head["y"], np.uint8) == 0), "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(c), "train_tokens": pa.array(np.full(len(n), int(states_n), np.int64)), "base_score": pa.array(b), "score": pa.array(a)})
 
     states_n = states[0]["n"]
+    rows, empty = mine.select(*_KEYS, "blocks", "runs", "doc"), F.lit(None)
+    used = [totals[0].withColumn("b", empty.cast("binary")), *(totals[k].withColumn("a", empty.cast("binary")) for k in kept), *(seatings[k - 1] for k in kept)]
+    for x in used:
+        rows = rows.unionByName(x, allowMissingColumns=True)
     with arrow_rows(spark, 1):
-        marked = table(mine.select("part", "blocks", "sizes", "ctx", "doc").mapInArrow(released(mark), "block string, part int, x binary, y binary, z binary"), "lm-sums")
-    heads = got.filter("kind = 1").select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), F.col("sizes").alias("x"), F.col("ctx").alias("y"), F.col("doc").alias("z"))
+        marked = table(rows.groupBy("part").applyInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums")
+    _free(spark)
+    heads = got.filter(F.col("kind") == DOCUMENTS).select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), F.col("b").alias("x"), F.col("c").alias("y"), F.col("d").alias("z"))
     return marked.unionByName(heads).groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -352,3 +352,15 @@ def test_block_sums_equal_brute_force(monkeypatch):
                 out = jaccard_join._reaching((pa.scalar(first), pa.scalar(second)), table).to_pydict()
                 found += [(min(p), max(p)) for p in zip(out["a"], out["b"])]
         assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_contexts_are_never_pooled(spark):
+    """Each of 40,000 words has followers of its own: pooled contexts would share their probability."""
+    pairs = [f"k{i} v{i}" for i in range(40_000)]
+    r = random.Random(2)
+    made = []
+    for i in range(800):
+        made.append((i, " ".join(r.choices(pairs, k=600))))
+    got = pitman_yor.score(spark.createDataFrame(made, "doc_id long, text string"))
+    s = got.filter("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert s[0] / s[1] > -2.7  # -2.49; -2.90 with 16,384 classes of contexts
