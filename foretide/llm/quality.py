@@ -29,22 +29,30 @@ CLOSING = tuple(".!?…:;\"'”’)]»")
 #: Phrases of notices and page furniture.
 BOILERPLATE = ("all rights reserved", "this work is licensed under", "licensed under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "click here", "sign in", "log in", "subscribe to our", "back to top", "lorem ipsum")
 BOILER_RE = re.compile("|".join(map(re.escape, BOILERPLATE)))
-UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
+#: Letters that are counted, as Latin-1: capitals, and small ones.
+UPPER, LOWER = (re.sub(rb"[^%b]" % x.encode("latin-1"), b"", bytes(range(256))) for x in ("A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"))
+
+
+def shouts(line: str) -> bool:
+    """Four fifths of all its letters are capitals."""
+    b = line.encode("latin-1", "replace")
+    upper = len(b) - len(b.translate(None, UPPER))
+    return upper > 0 and upper >= 4 * (len(b) - len(b.translate(None, LOWER)))
 
 
 def line_fails(line: str, words: list[str], alone: bool, again: bool) -> bool:
     n = len(words)
-    marks = len(SYMBOLS.findall(line))
-    if marks:
+    if not SEPARATORS.isdisjoint(words):
         bars = sum(w in SEPARATORS for w in words)
-        if bars >= 3 or 4 * bars >= n or 2 * marks > n:
+        if bars >= 3 or 4 * bars >= n:
             return True
+    if 2 * len(SYMBOLS.findall(line)) > n:
+        return True
     if again and n >= 10:
         return True
     if n < 4 and not alone and not words[-1].endswith(CLOSING):
         return True
-    if n >= 6 and line[:64].upper() == line[:64] and 5 * len(UPPER.findall(line)) >= 4 * len(LETTER.findall(line)) > 0:
+    if n >= 6 and shouts(line):
         return True
     return BOILER_RE.search(line.lower()) is not None
 

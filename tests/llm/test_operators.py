@@ -364,3 +364,11 @@ def test_contexts_are_never_pooled(spark):
     got = pitman_yor.score(spark.createDataFrame(made, "doc_id long, text string"))
     s = got.filter("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
     assert s[0] / s[1] > -2.7  # -2.49; -2.90 with 16,384 classes of contexts
+
+
+def test_line_rules_look_at_whole_lines():
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    for line in ("Home » News · Sport » Contact", "Home · News · Sport · About us and more of it here", "one two three /", "THIS IS THE LOUDEST LINE of ALL", "tHE LOUDEST LINE OF THEM ALL"):
+        assert quality.judge(f"{good}\n{line}")[-1] == good, line
+    for line in ("a well-known and/or plain line of words", "This Is A Line With Capitals", "One - or so - of many words that make a line of text."):
+        assert quality.judge(f"{good}\n{line}")[-1] == f"{good}\n{line}", line
