@@ -2,7 +2,8 @@
 
 The lexicon comes from labelled rows: words and word beginnings (stems) whose log-odds of toxic
 against other texts are high, besides a few fixed seeds.  A word matches an entry exactly, by a
-stem, or within one edit (words of five letters or more).  Each match weighs its entry's log-odds,
+stem, or within one edit (entries of five letters or more; a stem's last letter must agree, as any
+other word of the same beginning would match too).  Each match weighs its entry's log-odds,
 less if its window looks like quotation, more if it addresses someone.  A logistic model over the
 strongest match, their sum, density and inexactness turns matches into a score in (0, 1).
 
@@ -45,21 +46,35 @@ def normal(word: str) -> str:
     return w.translate(LEET) if w and not w.isalpha() and LETTERS.search(w) else w
 
 
+def near_any(w: str, shorter: set[str]) -> bool:
+    return w in shorter or any(w[:i] + w[i + 1 :] in shorter for i in range(len(w)))
+
+
 class Lexicon:
-    """entries: {text: (weight, is_stem)}."""
+    """entries: {text: (weight, is_stem)}; a stem may end in a star, which tells it from a word of its spelling."""
 
     def __init__(self, entries: dict[str, tuple[float, bool]]):
-        self.entries, self.trie, self.seen = entries, {}, {}
-        self.stems = {e: w for e, (w, stem) in entries.items() if stem}
+        self.seen: dict = {}
+        self.words = {e: w for e, (w, stem) in entries.items() if not stem}
+        self.stems = {e.removesuffix("*"): w for e, (w, stem) in entries.items() if stem}
         self.stem_sizes = sorted({len(e) for e in self.stems})
-        self.shorter: set[str] = set()
-        for e, (_, stem) in entries.items():
-            if not stem and len(e) >= 5:
-                node = self.trie
+        self.trie, self.shorter = self.grown(self.words)
+        self.stem_trie, self.stem_shorter = self.grown(self.stems)
+        sizes = [k for k in self.stem_sizes if k >= 5]
+        self.beginnings = range(sizes[0] - 1, sizes[-1] + 2) if sizes else range(0)
+
+    @staticmethod
+    def grown(entries) -> tuple[dict, set[str]]:
+        """The trie, and the entries with their forms without a letter."""
+        trie, shorter = {}, set()
+        for e in entries:
+            if len(e) >= 5:
+                node = trie
                 for c in e:
                     node = node.setdefault(c, {})
                 node[""] = e
-                self.shorter |= {e, *(e[:i] + e[i + 1 :] for i in range(len(e)))}
+                shorter |= {e, *(e[:i] + e[i + 1 :] for i in range(len(e)))}
+        return trie, shorter
 
     def near(self, word: str) -> str | None:
         """The best entry within one edit: the trie is walked together with the states (rows of the
@@ -70,7 +85,7 @@ class Lexicon:
             node, row = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[n] <= 1 and (best is None or self.entries[child][0] > self.entries[best][0]):
+                    if row[n] <= 1 and (best is None or self.words[child] > self.words[best]):
                         best = child
                     continue
                 new = [row[0] + 1]
@@ -80,6 +95,27 @@ class Lexicon:
                     stack.append((child, new))
         return best
 
+    def near_stem(self, word: str) -> str | None:
+        """The best stem within one edit of a beginning of the word: as `near`, but a state accepts where
+        any beginning that ends in the stem's last letter does."""
+        word, best = word[: self.beginnings.stop - 1], None
+        n = len(word)
+        stack = [(self.stem_trie, list(range(n + 1)), False)]
+        while stack:
+            node, row, ends = stack.pop()
+            for c, child in node.items():
+                if c == "":
+                    if ends and (best is None or self.stems[child] > self.stems[best]):
+                        best = child
+                    continue
+                new, ends_here = [row[0] + 1], False
+                for i in range(n):
+                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c)))
+                    ends_here |= word[i] == c and row[i] <= 1
+                if min(new) <= 1:
+                    stack.append((child, new, ends_here))
+        return best
+
     def match(self, raw: str) -> tuple[str, float, int] | None:
         """(entry, weight, edits) of a word."""
         if raw in self.seen:
@@ -87,17 +123,20 @@ class Lexicon:
         if len(self.seen) >= CACHE:
             self.seen.clear()
         w, found = normal(raw), None
-        if w in self.entries:
-            found = (w, self.entries[w][0], 0)
+        if w in self.words:
+            found = (w, self.words[w], 0)
         else:
             for k in self.stem_sizes:
                 if w[:k] in self.stems and len(w) >= k:
                     found = (w[:k], self.stems[w[:k]], 0)
             # Within one edit two words agree, or one of their forms without a letter does: what can't
             # match never reaches the automaton.
-            if found is None and len(w) >= 4 and (w in self.shorter or any(w[:i] + w[i + 1 :] in self.shorter for i in range(len(w)))):
+            if found is None and len(w) >= 4 and near_any(w, self.shorter):
                 e = self.near(w)
-                found = e and (e, self.entries[e][0], 1)
+                found = e and (e, self.words[e], 1)
+            if found is None and any(near_any(w[:k], self.stem_shorter) for k in self.beginnings if k <= len(w)):
+                e = self.near_stem(w)
+                found = e and (e, self.stems[e], 1)
         self.seen[raw] = found
         return found
 
@@ -123,6 +162,14 @@ def context(words: list[str], i: int) -> float:
     return factor * (1.2 if any(w in ADDRESSING for w in plain) else 1.0)
 
 
+def strongest(hits: list[tuple]) -> dict[str, float]:
+    """The highest weight of every spelling: a word and its stem are one."""
+    out: dict[str, float] = {}
+    for e, w, _, _ in hits:
+        out[e] = max(w, out.get(e, w))
+    return out
+
+
 def features(hits: list[tuple], n: int) -> list[float]:
     exact = [w * c for _, w, e, c in hits if not e]
     edited = [w * c for _, w, e, c in hits if e]
@@ -184,8 +231,9 @@ def learn_lexicon(sample: DataFrame, most: int = 500) -> dict[str, tuple[float,
         inner = max((of[g][0] for g in of if g.endswith("*") and len(g) > len(f) and g.startswith(f[:-1])), default=0)
         if p > 1.25 * longest and p > inner:  # more than its words and longer stems each
             stems[f[:-1]] = o
-    learned = {w: (of[w][1], False) for w in words} | {s: (o, True) for s, o in stems.items()}
-    return entries | dict(sorted(learned.items(), key=lambda x: (-x[1][0], x[0]))[:most])
+    best = {w: stems.get(w, of[w][1] if w in words else 0.0) for w in words | stems.keys()}
+    chosen = set(sorted(best, key=lambda w: (-best[w], w))[:most])  # a word and the stem of its spelling count once
+    return entries | {w: (of[w][1], False) for w in words & chosen} | {s + "*": (o, True) for s, o in stems.items() if s in chosen}
 
 
 def lexicon(entries: dict) -> Lexicon:
@@ -228,7 +276,7 @@ def score(docs: DataFrame, entries: dict, coefficients: list[float], id_col: str
                 hits, n = own.hits(t.as_py() or "")
                 z = sum(x * y for x, y in zip(features(hits, n), coefficients))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                named.append([e for e, _ in sorted({(e, w) for e, w, _, _ in hits}, key=lambda x: (-x[1], x[0]))])
+                named.append([e for e, _ in sorted(strongest(hits).items(), key=lambda x: (-x[1], x[0]))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array(named, pa.list_(pa.string()))], names=[id_col, "score", "hits"])
 
     return docs.select(id_col, text_of(F.col(text_col)).alias("text")).mapInArrow(released(run), T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.StringType()))]))

@@ -372,3 +372,17 @@ def test_line_rules_look_at_whole_lines():
         assert quality.judge(f"{good}\n{line}")[-1] == good, line
     for line in ("a well-known and/or plain line of words", "This Is A Line With Capitals", "One - or so - of many words that make a line of text."):
         assert quality.judge(f"{good}\n{line}")[-1] == f"{good}\n{line}", line
+
+
+def test_stems_leave_words_in_the_automaton(spark):
+    r = random.Random(4)
+    forms = ["blorven", "blorvens", "blorvenly", "blorveners"]
+    data = [(i, " ".join(r.choices([f"w{k}" for k in range(300)], k=30) + ([forms[i // 2 % 4]] if i % 2 else [])), i % 2) for i in range(400)]
+    entries = toxicity.learn_lexicon(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    lex = toxicity.Lexicon(entries)
+    assert "blorven" in lex.words and "blorven" in lex.stems
+    for w in ("blorvn", "bloorven", "blurven"):  # of the word
+        assert lex.match(w) and lex.match(w)[2] == 1, w
+    for w in ("blorvnish", "bloorvenish", "blurvenish"):  # of an inflected form
+        assert lex.match(w)[0] == "blorven" and lex.match(w)[2] == 1, w
+    assert lex.match("blorvenish")[2] == 0 and lex.match("blorvetish") is None and lex.match("florist") is None
