@@ -18,8 +18,6 @@ one by one; without training rows every word is unknown; an empty table gives no
 """
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -262,10 +260,15 @@ def _gather(parts: int):
     return run
 
 
-def _free(spark) -> None:
-    """Shuffle files go when the driver's JVM collects what refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """`table`, without the shuffle files that it took: they go when the write has ended."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return table(df, what)
+    finally:
+        conf.set(key, old)
 
 
 def _sums(df: DataFrame) -> dict:
@@ -282,9 +285,7 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col:
     parts = max(4, -(-size // part_bytes))
     emitted = rows.mapInArrow(released(_emit(parts)), "part int, kind int, block string, a binary, b binary, c binary, d binary")
     with arrow_rows(spark, BLOCK):
-        got = table(emitted.groupBy("part").applyInArrow(_gather(parts), _PARTS), "lm-parts")
-    del emitted
-    _free(spark)
+        got = settled(emitted.groupBy("part").applyInArrow(_gather(parts), _PARTS), "lm-parts")
     mine = got.filter(F.col("kind") == PAIRS)
     pairs = mine.select(_KEYS)
     shares, states, totals, seatings = got.filter(F.col("kind") == SHARE).select(_KEYS), [_sums(pairs)], [], []
@@ -300,16 +301,15 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col:
 
     with arrow_rows(spark, 1):
         for k in range(1, burn + sweeps + 1):
-            totals.append(table(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
+            totals.append(settled(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
             rows = pairs.unionByName(totals[-1])
             if seatings:
                 rows = rows.unionByName(seatings[-1].withColumn("a", F.lit(None).cast("binary")))
-            moved = table(rows.groupBy("part").applyInArrow(sweep(k, states[-1]), _ROWS), "lm-sweep")
+            moved = settled(rows.groupBy("part").applyInArrow(sweep(k, states[-1]), _ROWS), "lm-sweep")
             seatings.append(moved.filter(F.col("kind") == SEATING))
             shares = moved.filter(F.col("kind") == SHARE)
             states.append(states[0] | {x: v for x, v in _sums(seatings[-1]).items() if x in ("c0", "t0")})
-            _free(spark)
-        totals.append(table(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
+        totals.append(settled(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
     kept = range(burn + 1, burn + sweeps + 1)
 
     def mark(key, rows):
@@ -360,7 +360,6 @@ def score(docs: DataFrame, sweeps: int = 2, part_bytes: int = 16 << 20, id_col:
     for x in used:
         rows = rows.unionByName(x, allowMissingColumns=True)
     with arrow_rows(spark, 1):
-        marked = table(rows.groupBy("part").applyInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums")
-    _free(spark)
+        marked = settled(rows.groupBy("part").applyInArrow(mark, "block string, part int, x binary, y binary, z binary"), "lm-sums")
     heads = got.filter(F.col("kind") == DOCUMENTS).select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), F.col("b").alias("x"), F.col("c").alias("y"), F.col("d").alias("z"))
     return marked.unionByName(heads).groupBy("block").applyInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
