@@ -8,6 +8,8 @@ import types
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,15 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset a local
+    session gets one of its own; on a cluster that raises, as executors could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="foretide-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -89,8 +94,6 @@ def give_back() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -99,6 +102,79 @@ def give_back() -> None:
         pass
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """`table`, without the shuffle files that it took: they go when the write has ended."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return table(df, what)
+    finally:
+        conf.set(key, old)
+
+
+#: Bytes of text that are hashed at a time; places of a byte in a word that have powers of their own.
+CHUNK, PLACES = 1 << 17, 1 << 16
+
+
+def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    value = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64)
+    value[65:91] = value[97:123]
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    power = np.multiply.accumulate(np.full(PLACES, 0x9E3779B97F4A7C15, np.uint64))
+    return value, space, power
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words with A-Z lowered, words of each text), from the column's own memory.
+
+    A word's hash is a sum over its bytes of a random value for the byte times a power for its place,
+    mixed with its length.  Texts of any length are taken CHUNK bytes at a time, cut between words;
+    null texts have no words."""
+    kept = worker_cache()
+    if "hash_tables" not in kept:
+        kept["hash_tables"] = _hash_tables()
+    value, blank, power = kept["hash_tables"]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    at -= at[0]
+    space, opens = blank[raw], np.zeros(len(raw) + 1, bool)
+    opens[at[:-1]] = True  # texts begin here
+    hashes, begins, lo = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while lo < len(raw):
+        hi = lo + CHUNK
+        if hi < len(raw):
+            # Back to the last place between words, or on to the next one behind a very long word.
+            back = np.flatnonzero(space[lo:hi] | opens[lo + 1 : hi + 1])
+            if len(back):
+                hi = lo + int(back[-1]) + 1
+            else:
+                while hi < len(raw) and not (space[hi - 1] or opens[hi]):
+                    hi += 1
+        own = np.flatnonzero(~space[lo:hi])
+        if len(own):
+            first = np.flatnonzero(np.concatenate(([True], np.diff(own) > 1)) | opens[lo + own])
+            size = np.diff(np.append(first, len(own)))
+            place = np.arange(len(own)) - np.repeat(first, size)
+            sums = np.add.reduceat(value[raw[lo + own]] * power[place & (PLACES - 1)], first)
+            hashes.append(mixed(sums + size.astype(np.uint64)) | np.uint64(2))
+            begins.append(lo + own[first])
+        lo = hi
+    begin = np.concatenate(begins)
+    return np.concatenate(hashes), np.diff(np.searchsorted(begin, at))
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, whatever ships the function."""
     return sys.modules.setdefault("_foretide_worker", types.ModuleType("_foretide_worker")).__dict__

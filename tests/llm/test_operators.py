@@ -294,6 +294,117 @@ def test_language_model(docs, none, rows, spark):
     assert sorted((g.doc_id, g.score) for g in again) == sorted((g.doc_id, g.score) for g in got)
 
 
+def plain_gibbs(train, texts, sweeps, burn, d, theta, d0, theta0, seed=5):
+    """Customer by customer over explicit tables, totals never stale: log10 probabilities of texts."""
+    r = random.Random(seed)
+    vocabulary = {w for t in train for w in t}
+    v = len(vocabulary)
+    ctx, root = collections.defaultdict(lambda: collections.defaultdict(list)), collections.defaultdict(list)
+    size = {}  # context -> [customers, tables]
+    total = [0, 0]
+
+    def mass(tables, n, t, th, dd, up):
+        return (sum(tables) - dd * len(tables) + (th + dd * t) * up) / (n + th)
+
+    def above(w):
+        return mass(root.get(w, []), *total, theta0, d0, 1 / (v + 1))
+
+    def sit(tables, new, dd):
+        at = r.random() * (new + sum(tables) - dd * len(tables))
+        for i, x in enumerate(tables):
+            at -= x - dd
+            if at < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        at = r.randrange(sum(tables))
+        for i, x in enumerate(tables):
+            at -= x
+            if at < 0:
+                break
+        tables[i] -= 1
+        if not tables[i]:
+            tables.pop(i)
+            return True
+        return False
+
+    def add(c, w):
+        s = size.setdefault(c, [0, 0])
+        opened = sit(ctx[c][w], (theta + d * s[1]) * above(w), d)
+        s[0] += 1
+        if opened:
+            s[1] += 1
+            total[1] += sit(root[w], (theta0 + d0 * total[1]) / (v + 1), d0)
+            total[0] += 1
+
+    def remove(c, w):
+        size[c][0] -= 1
+        if leave(ctx[c][w]):
+            size[c][1] -= 1
+            total[0] -= 1
+            total[1] -= leave(root[w])
+
+    customers = [(c, w) for t in train for c, w in zip([None, *t], t)]
+    for x in customers:
+        add(*x)
+    p = [[0.0] * len(t) for t in texts]
+    for k in range(burn + sweeps):
+        for x in customers:
+            remove(*x)
+            add(*x)
+        if k >= burn:
+            for out, t in zip(p, texts):
+                for i, (c, w) in enumerate(zip([None, *t], t)):
+                    out[i] += mass(ctx[c].get(w, []), *size.get(c, (0, 0)), theta, d, above(w)) / sweeps
+    return [sum(map(math.log10, out)) for out in p]
+
+
+def test_language_model_against_a_plain_sampler(spark):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    follow = {w: r.choices(words, [1 / (i + 1) for i in range(60)], k=6) for w in words}
+
+    def text():
+        out = [r.choice(words)]
+        while r.random() < 0.95:
+            out.append(r.choice(follow[out[-1]]) if r.random() < 0.8 else r.choice(words))
+        return " ".join(out)
+
+    rows = [(i, text()) for i in range(250)]
+    model = {"d": 0.6, "theta": 2.0, "d0": 0.4, "theta0": 1.0}
+    got = {g.doc_id: g for g in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), model=model, sweeps=8, burn=6, visits=6).collect()}
+    tok = lambda t: [*t.split(), None]
+    train = [tok(t) for i, t in rows if not got[i].held_out]
+    for held in (True, False):
+        some = [i for i, _ in rows if got[i].held_out == held][:60]
+        exact = plain_gibbs(train, [tok(rows[i][1]) for i in some], 8, 6, **model)
+        n = sum(got[i].n_tokens for i in some)
+        assert sum(got[i].score for i in some) / n == pytest.approx(sum(exact) / n, abs=0.02)
+
+
+def test_seats_keep_their_customers():
+    rng = np.random.default_rng(1)
+    count = rng.integers(2, 400, 300)
+    seats = pitman_yor.Seats.opened(count, np.minimum(count, rng.integers(1, 9, 300)))
+    for _ in range(5):
+        seats.resample(rng.random(300) * 3, 0.7, 4, rng)
+        assert (np.add.reduceat(seats.size, np.cumsum(seats.tables) - seats.tables) == count).all() and (seats.size > 0).all()
+
+
+def test_word_hashes_agree_with_words():
+    from foretide.llm._common import word_hashes
+
+    texts = ["a b" * 100_000, None, "", " x ", "q" * 400_000 + " z", "é É Az aZ", "\x1c a\x0bb", "\u00a0 \u2003"]
+    h, n = word_hashes(pa.array(["skipped", *texts]).slice(1))
+    words = [w for t in texts for w in WORD.findall(lower(t or ""))]
+    assert n.tolist() == [len(WORD.findall(t or "")) for t in texts]
+    of = dict(zip(words, h.tolist()))
+    assert [of[w] for w in words] == h.tolist() and len(set(of.values())) == len(of)
+
+
 def test_shards(docs, none, rows):
     got = sharding.shard_by_bytes(docs).collect()
     text = {r[0]: (r[1] or "").encode() for r in rows}
