@@ -27,91 +27,160 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import delete, new_path, worker_cache
+from ._common import Shipped, delete, new_path, raw_texts, released, run_hashes, worker_cache
 
 LEAST, MEAN, MOST, WINDOW = 64, 256, 2048, 8
 BLOCK = 1024
-#: Units that a worker keeps in each of two generations.
-CACHE = 600_000
+HOT_PARTS = 64
+#: Units that a worker keeps; texts whose units are looked up together; new units encoded together.
+CACHE, SLICE, LOT = 2_500_000, 1000, 4000
 #: A space between white space: a pre-token may span it.
 GLUED = re.compile(r"\s (?:\s|\Z)")
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
+#: Bytes that end a white space character beyond ASCII, and bytes that begin one.
+_ENDS, _BEGINS = (0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF), (0xC2, 0xE1, 0xE2, 0xE3)
+
+
+def _glue_tables() -> tuple[np.ndarray, np.ndarray]:
+    ends, begins = np.zeros(256, bool), np.zeros(256, bool)
+    for t, more in ((ends, _ENDS), (begins, _BEGINS)):
+        t[[*range(9, 14), *range(28, 33), *more]] = True
+    return ends, begins
+
+
 class Encoder:
     """ids as `tokenizers` has them, packed.
 
     Where the file says byte-level without normalisation, what stands between two spaces (with the
     space before it) is encoded alike anywhere: a pre-token never spans a space unless white space
-    stands on its other side too, and such texts are encoded as they are.  So each distinct unit is
-    encoded once and kept; other files go text by text."""
+    stands on both sides of it, and texts with such a space are encoded as they are.  So texts are cut
+    before every space, and each distinct unit is encoded once, kept under its 64-bit hash and copied
+    to where it stands; other files go text by text."""
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, spec: str, width: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.kind = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        self.tok, self.kind = Tokenizer.from_str(spec), np.dtype(f"<u{width}")
         self.tok.encode_special_tokens = True
-        spec = json.loads(open(path, encoding="utf-8").read())
-        pre = spec.get("pre_tokenizer") or {}
-        self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.opens = None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pack_units(self, units: list[str]) -> dict[str, bytes]:
-        """Units that neither begin nor end in white space are encoded many at a time: each begins
-        with the one token that begins with a space."""
-        out: dict[str, bytes] = {}
-        plain = [u for u in units if u and u[0] != "\0" and u.strip() == u]
-        if self.opens is None:
-            vocab = self.tok.get_vocab()
-            self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
-            self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        groups = [plain[at : at + 4000] for at in range(0, len(plain), 4000)]
-        for some, e in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(some):
-                w, raw = self.kind.itemsize, ids.tobytes()
-                ends = (at * w).tolist()
-                out.update(zip(some, [raw[x:y] for x, y in zip(ends, [*ends[1:], len(raw)])]))
-        rest = [u for u in units if u not in out]
-        out.update(zip(rest, self._pack([u[1:] if u[:1] == "\0" else " " + u for u in rest])))
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        units: list = [None] * len(texts)
-        for i, t in enumerate(texts):
-            if self.apart and not GLUED.search(t):
-                first, *rest = t.split(" ")
-                units[i] = ["\0" + first, *rest]
-        asked = set()
-        asked.update(*(u for u in units if u))
-        new = []
-        for u in asked.difference(young):
-            if u in old:
-                young[u] = old[u]
+        file = json.loads(spec)
+        pre = file.get("pre_tokenizer") or {}
+        self.apart = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not file.get("normalizer")
+        vocab = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.ends, self.begins = _glue_tables()
+        self.clear()
+
+    def clear(self) -> None:
+        #: Sorted hashes of the units kept, and their places in `size`; `ids` are all units' ids in order.
+        self.names, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.size, self.begin, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units in the order of their ids, numbers of ids, ids) of the units between `start` and `end`.
+
+        Units of a space and what neither begins nor ends in white space are encoded many at a time:
+        each begins with the one token that begins with a space."""
+        joint = (raw[start] == 32) & (end - start > 1)
+        joint &= ~self.begins[raw[np.minimum(start + 1, len(raw) - 1)]] & ~self.ends[raw[end - 1]]
+        at = np.flatnonzero(joint)
+        size = end[at] - start[at]
+        upto = np.cumsum(size)
+        if len(at):
+            text = raw[np.repeat(start[at] - (upto - size), size) + np.arange(int(upto[-1]))].tobytes()
+        groups = [(x, min(x + LOT, len(at))) for x in range(0, len(at), LOT)]
+        cut = lambda x: int(upto[x - 1]) if x else 0
+        order, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, self.kind)]
+        alone = np.flatnonzero(~joint).tolist()
+        for (x, y), e in zip(groups, self.tok.encode_batch_fast([text[cut(x) : cut(y)].decode() for x, y in groups], add_special_tokens=False) if groups else ()):
+            own = np.array(e.ids, self.kind)
+            first = np.flatnonzero(self.opens[own])
+            if len(first) == y - x:
+                order.append(at[x:y])
+                sizes.append(np.diff(np.append(first, len(own))))
+                ids.append(own)
             else:
-                new.append(u)
-        if new:
-            young.update(self._pack_units(new))
-        whole = [t for t, u in zip(texts, units) if u is None]
-        packed = iter(self._pack(whole) if whole else [])
-        get = young.__getitem__
-        return [next(packed) if u is None else b"".join(map(get, u)) for u in units]
+                alone += at[x:y].tolist()
+        found = self._plain([raw[start[i] : end[i]].tobytes().decode() for i in alone])
+        order.append(np.array(alone, np.int64))
+        sizes.append(np.array([len(x) for x in found], np.int32))
+        return np.concatenate(order), np.concatenate(sizes), np.concatenate([*ids, *found])
+
+    def _look(self, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The place of every unit in the cache; new ones are encoded first."""
+        h = run_hashes(raw, start)
+        order = np.argsort(h)
+        sorted_ = h[order]
+        new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
+        names, first = sorted_[new], order[new]
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            place = np.where(self.names[at] == names, self.place[at], -1)
+        else:
+            at, place = np.zeros(len(names), np.int64), np.full(len(names), -1)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            x = start[first[missing]]
+            y = np.append(start, len(raw))[first[missing] + 1]
+            by, sizes, ids = self._units(raw, x, y)
+            place[missing[by]] = np.arange(len(self.size), len(self.size) + len(by))
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes))
+            self.size, self.ids = np.concatenate((self.size, sizes.astype(np.int32))), np.concatenate((self.ids, ids))
+            into = np.searchsorted(self.names, names[missing])
+            self.names, self.place = np.insert(self.names, into, names[missing]), np.insert(self.place, into, place[missing].astype(np.int32))
+        out = np.empty(len(h), np.int64)
+        out[order] = place[np.cumsum(new) - 1]
+        return out
 
+    def _glued(self, raw: np.ndarray, spaces: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray:
+        """Which texts have a space between white space.  Bytes tell where to look, the text itself decides."""
+        of = np.searchsorted(at, spaces, "right") - 1
+        last = spaces + 1 == at[of + 1]
+        left = (spaces > at[of]) & self.ends[raw[spaces - 1]]
+        right = last | self.begins[raw[np.minimum(spaces + 1, len(raw) - 1)]]
+        out = np.zeros(len(texts), bool)
+        for i in np.unique(of[left & right]).tolist():
+            out[i] = GLUED.search(texts[i].as_py()) is not None
+        return out
 
-def encoder(path: str, width: int) -> Encoder:
-    kept, key = worker_cache(), ("store", path, width)
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); null texts have none."""
+        if not self.apart:
+            found = self._plain([t or "" for t in texts.to_pylist()])
+            return np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(x) for x in found], np.int64)
+        if len(self.names) > CACHE:
+            self.clear()
+        raw, at = raw_texts(texts)
+        if not len(raw):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        spaces = np.flatnonzero(raw == 32)
+        whole = self._glued(raw, spaces, at, texts) if len(spaces) else np.zeros(len(texts), bool)
+        begins = raw == 32
+        begins[at[:-1][np.diff(at) > 0]] = True
+        start = np.flatnonzero(begins)
+        place = self._look(raw, start)
+        size = self.size[place].astype(np.int64)
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.begin[place] - (upto - size), size) + np.arange(int(upto[-1]))]
+        bounds = np.concatenate(([0], upto))[np.searchsorted(start, at)]
+        if whole.any():
+            which = np.flatnonzero(whole).tolist()
+            own = dict(zip(which, self._plain([texts[i].as_py() for i in which])))
+            parts = [own[i] if i in own else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, np.diff(bounds)
+
+
+def encoder(spec: Shipped, width: int) -> Encoder:
+    kept, key = worker_cache(), ("store", spec.key, width)
     if key not in kept:
-        kept[key] = Encoder(path, width)
+        kept[key] = Encoder(spec.data.decode(), width)
     return kept[key]
 
 
@@ -146,38 +215,43 @@ def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
     return out
 
 
-def _chunked(path: str, end_id: int, width: int):
-    last = end_id.to_bytes(width, "little")
-
+def _chunked(spec: Shipped, end_id: int, width: int):
     def run(batches):
-        own = encoder(path, width)
+        own = encoder(spec, width)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                packed = [x + last for x in own([t or "" for t in part.column(1).to_pylist()])]
-                tokens = [len(x) // width for x in packed]
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                ids, tokens = own(part.column(1))
+                ids = np.insert(ids, np.cumsum(tokens), end_id).astype(own.kind)
+                tokens = tokens + 1
                 ends = np.cumsum(tokens).tolist()
-                found = cuts(np.frombuffer(b"".join(packed), own.kind), ends)
+                raw = ids.tobytes()
+                found, begin = cuts(ids, ends), 0
                 roots, hashes, sizes, data = [], [], [], []
-                for raw, n, end, cut in zip(packed, tokens, ends, found):
-                    at = [0, *(c - end + n for c in cut)]
+                for end, cut in zip(ends, found):
+                    at = [begin, *cut]
                     pieces = [raw[x * width : y * width] for x, y in zip(at, at[1:])]
                     hs = [hashlib.sha256(c).digest()[:16] for c in pieces]
-                    roots.append(hashlib.sha256(b"".join(hs)).digest())
+                    roots.append(root_of(hs))
                     hashes.append(hs)
                     sizes.append([y - x for x, y in zip(at, at[1:])])
                     data.append(pieces)
+                    begin = end
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(roots, pa.binary()), pa.array(hashes, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "root", "hashes", "sizes", "data"])
 
     return run
 
 
+def root_of(hashes: list[bytes]) -> bytes:
+    return hashlib.sha256(b"".join(hashes)).digest()
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends end_id and writes the store.  Ids must fit `width` bytes."""
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("hashes", T.ArrayType(T.BinaryType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("data", T.ArrayType(T.BinaryType()))])
     staged = f"{path}/staged"
-    docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(_chunked(tokenizer, end_id, width), schema).write.option("compression", "zstd").parquet(staged)
+    docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(released(_chunked(Shipped(spark, tokenizer), end_id, width)), schema).write.option("compression", "zstd").parquet(staged)
     got = spark.read.schema(schema).parquet(staged)
     chunks = got.select(F.explode(F.arrays_zip("hashes", "sizes", "data")).alias("c")).select(F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"), F.col("c.data").alias("data"))
     chunks.dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
@@ -215,8 +289,9 @@ def _manifest(found: DataFrame) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Parts whose manifest doesn't follow from the recipes: no rows if the store is whole."""
-    now = _manifest(recipes(spark, path)).select("part", F.col("root").alias("now"))
+    """Parts whose manifest doesn't follow from the recipes' own hashes: no rows if the store is whole."""
+    own = F.unhex(F.sha2(F.aggregate("hashes", F.lit(b""), lambda a, x: F.concat(a, x)), 256))
+    now = _manifest(recipes(spark, path).withColumn("root", own)).select("part", F.col("root").alias("now"))
     return spark.read.parquet(f"{path}/manifest").join(now, "part", "full").filter(~F.col("root").eqNullSafe(F.col("now")))
 
 
@@ -261,7 +336,11 @@ def combine(crcs: list[list[int]], sizes: list[list[int]]) -> np.ndarray:
 
 def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files: every stored chunk is read, held against its
-    hash and summed; each document's sum follows from its recipe (sums of parts combine)."""
+    hash and summed; each document's chunks are held against the root of its recipe, and its sum
+    follows from theirs (sums of parts combine).  Damage raises.
+
+    A chunk that a thousandth of all references name is one of at most a thousand: their references are
+    spread over HOT_PARTS keys each."""
     kind = np.dtype(f"<u{width}")
 
     def sums(batches):
@@ -275,17 +354,25 @@ def digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def whole(batches):
         for b in batches:
-            parts = b.column(3).to_pylist()
+            parts = b.column(4).to_pylist()
+            for root, ps in zip(b.column(3).to_pylist(), parts):
+                if root_of([p["hash"] for p in ps]) != root:
+                    raise ValueError(f"the recipe with root {root.hex()} is damaged")
             crc = combine([[p["crc"] for p in ps] for ps in parts], [[p["n"] for p in ps] for ps in parts])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc.astype(np.int64), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    stored = chunks(spark, path).select("hash", "n", "data").mapInArrow(sums, "hash binary, crc long")
     found = recipes(spark, path)
-    refs = found.select("start", "doc_id", "n_tokens", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("pos", "c")).select("start", "doc_id", "n_tokens", "pos", F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"))
-    joined = refs.join(stored, "hash", "left").select("start", "doc_id", "n_tokens", F.struct("pos", "n", F.coalesce(F.col("crc"), F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc")).alias("p"))
-    docs = joined.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list("p")).alias("parts"))
+    refs = found.select("start", "doc_id", "n_tokens", "root", F.posexplode(F.arrays_zip("hashes", "sizes")).alias("pos", "c")).select("start", "doc_id", "n_tokens", "root", "pos", F.col("c.hashes").alias("hash"), F.col("c.sizes").alias("n"))
+    total = found.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    hot = [bytes(r.hash) for r in found.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {max(total // 1000, 10_000)}").collect()]  # at most a thousand
+    is_hot = F.col("hash").isin(hot) if hot else F.lit(False)
+    stored = chunks(spark, path).select("hash", "n", "data").mapInArrow(sums, "hash binary, crc long")
+    stored = stored.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    refs = refs.withColumn("salt", F.when(is_hot, F.pmod("start", F.lit(HOT_PARTS)).cast("int")).otherwise(0))
+    joined = refs.join(stored, ["hash", "salt"], "left").select("start", "doc_id", "n_tokens", "root", F.struct("pos", "n", F.coalesce(F.col("crc"), F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "hash").alias("p"))
+    docs = joined.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.array_sort(F.collect_list("p")).alias("parts"))
     schema = T.StructType([found.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(whole, schema)
+    return docs.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(whole, schema)
 
 
 def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -304,8 +391,11 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def build(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes a store in the shared folder and returns what `digests` reads from it."""
+    """Writes a store in the shared folder, holds its recipes against the manifests, and returns what
+    `digests` reads from it."""
     spark = docs.sparkSession
     path = new_path(spark, "token-store")
     write(docs, path, tokenizer)
+    if verify(spark, path).limit(1).count():
+        raise ValueError("the store's recipes don't follow from its manifests")
     return digests(spark, path)
