@@ -30,46 +30,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_rows, give_back, released, table, text_of
+from ._common import arrow_rows, give_back, mixed, released, table, text_of, word_hashes
 from .components import components
 
 WORDS = 5
+#: Columns of our own beside a table's.
+_KEY, _COMP = "_foretide_row", "_foretide_component"
 LIGHT, FEW, LEVELS = 8, 32, 4
 SLICE = 2000
 #: Pairs that a task expands before it sums them.
 MEET = 1 << 20
 #: Six blocks are 21 tasks, so that no task has all lists.
 LEAST_BLOCKS = 6
-CACHE = 250_000
+#: Holders of a list that one key of a join on lists has.
+HOT = 4096
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def _word(kept: dict, w: bytes) -> int:
-    if len(kept) >= CACHE:
-        kept.clear()
-    h = kept[w] = xxhash.xxh64_intdigest(w) | 1
-    return h
-
-
-def shingles(text: str, kept: dict) -> np.ndarray:
-    """The sorted distinct n-gram hashes of a text (A-Z lowered)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    get = kept.get
-    h = np.fromiter((get(w) or _word(kept, w) for w in words), np.uint64, n)
-    k = min(n, WORDS)
-    acc = np.full(n - k + 1, WORDS - k, np.uint64)
-    for i in range(k):
-        acc = acc * _M + h[i : n - k + 1 + i]
-    return np.unique(_mix(acc))
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct n-gram hashes of each text (A-Z lowered)."""
+    words, n = word_hashes(texts)
+    grams = np.zeros(max(len(words) - WORDS + 1, 0), np.uint64)
+    for i in range(WORDS if len(grams) else 0):
+        grams = grams * _M + words[i : len(words) - WORDS + 1 + i]
+    grams = mixed(grams)
+    out, at = [], 0
+    for k in n.tolist():
+        if k >= WORDS:
+            out.append(np.unique(grams[at : at + k - WORDS + 1]))
+        else:
+            whole = np.full(min(k, 1), WORDS - k, np.uint64)
+            for x in words[at : at + k]:
+                whole = whole * _M + x
+            out.append(mixed(whole))
+        at += k
+    return out
 
 
 def required(na, nb):
@@ -92,8 +87,8 @@ class Bits:
 
 
 def bit_places(h: np.ndarray, mask: np.uint64):
-    h = _mix(h)
-    return h & mask, _mix(h) & mask
+    h = mixed(h)
+    return h & mask, mixed(h) & mask
 
 
 def bits_of(df: DataFrame, column: str, n: int) -> bytes:
@@ -102,12 +97,12 @@ def bits_of(df: DataFrame, column: str, n: int) -> bytes:
     size = 1 << min(28, max(16, (16 * max(n, 1) - 1).bit_length()))
 
     def run(batches):
-        bits = np.zeros(size, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for b in batches:
             h = np.asarray(b.column(0).drop_null()).astype(np.int64).view(np.uint64)
             for at in bit_places(h, np.uint64(size - 1)):
-                bits[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["x"])
+                np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["x"])
 
     parts = [r.x for r in df.select(column).coalesce(8).mapInArrow(run, "x binary").collect()]
     out = np.zeros(size // 8, np.uint8)
@@ -144,13 +139,12 @@ def _emit(fragments: int, common=None):
     lengths, n-grams.  `common`: bits of the n-grams that come last."""
 
     def run(batches):
-        kept: dict = {}
         late = Bits(common.value) if common is not None else None
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 some = batch.slice(lo, SLICE)
                 ids = some.column(0)
-                sets = [shingles(x or "", kept) for x in some.column(1).to_pylist()]
+                sets = shingle_sets(some.column(1))
                 cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64)
                 size = np.array([len(s) for s in sets], np.int64)
                 rows = {x: [] for x in ("frag", "c", "s", "k", "t")}
@@ -252,16 +246,27 @@ def _count(key, rows):
     })
 
 
+def _by_list(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows(list, m, cls, ...) joined with one row for each list, where m is the number of the list's
+    holders: a list of more than HOT is spread over as many keys as it has times HOT holders."""
+    salts = F.floor(F.col("m") / HOT)
+    many = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), salts + 1))
+    sizes = rows.filter(F.col("m") >= HOT).select("list", "m").distinct()
+    spread = lists.join(sizes, "list", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(0))))).drop("m")
+    return many.join(spread, ["list", "salt"]).drop("salt")
+
+
 def _longs(column: str, name: str):
-    """Rows (list, value) from packed 64-bit values."""
+    """Rows (list, its n-grams w, its values m, value) from packed 64-bit values."""
 
     def run(batches):
         for b in batches:
-            packs = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            packs = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
             if packs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(p) for p in packs])), pa.array(np.concatenate(packs))], names=["list", name])
+                size = [len(p) for p in packs]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.asarray(x), size)) for x in (b.column(0), b.column(1), pa.array(size, pa.int64()))), pa.array(np.concatenate(packs))], names=["list", "w", "m", name])
 
-    return lambda df: df.select("list", column).mapInArrow(run, f"list long, {name} long")
+    return lambda df: df.select("list", F.col("o").alias("w"), column).mapInArrow(run, f"list long, w long, m long, {name} long")
 
 
 def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,12 +280,11 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     only = spark.sparkContext.broadcast(bits_of(ids, "rep", ids.count()))
 
     def read(batches):
-        kept, seen = {}, set()
+        seen = set()
         for some in _only(only)(batches):
             for lo in range(0, some.num_rows, 500):
                 cls, hi, mid, size = [], [], [], []
-                for x in some.column(1).slice(lo, 500).to_pylist():
-                    s = shingles(x or "", kept)
+                for s in shingle_sets(some.column(1).slice(lo, 500)):
                     h = xxhash.xxh64_intdigest(s.tobytes())
                     if len(s) and h not in seen:
                         seen.add(h)
@@ -321,7 +325,7 @@ def _stars(held: DataFrame) -> DataFrame:
     share = held.groupBy("cls").agg((F.sum("w") / F.max(prefix)).alias("share"))
     centre = held.join(share, "cls").groupBy("list").agg(F.max(F.struct("share", "n", "cls")).alias("c"))
     fits = "cls <> c.cls and 3 * n <= 4 * c.n and 3 * c.n <= 4 * n"
-    star = held.join(centre, "list").filter(fits)
+    star = _by_list(held, centre).filter(fits)
     star = star.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), "w", F.least("n", "c.n").alias("n"))
     return star.groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("n").alias("n")).filter("w >= 0.1 * n").select("a", "b")
 
@@ -388,10 +392,10 @@ def _between(lists: DataFrame, light: DataFrame) -> DataFrame:
         own = own.join(known.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"comp{s}")), s)
     ends = F.array(*(F.struct(F.col(s).alias("cls"), F.col(f"n{s}").alias("n"), F.col(f"comp{s}").alias("comp")) for s in "ab"))
     two = own.filter("compa <> compb").select((-F.abs(F.xxhash64("a", "b") / 2).cast("long") - 1).alias("list"), "w", F.explode(ends).alias("x"))
-    held = lists.select("list", "w", "cls", "n", "comp").union(two.select("list", "w", "x.cls", "x.n", "x.comp"))
+    held = lists.select("list", "w", "m", "cls", "n", "comp").union(two.select("list", "w", F.lit(2), "x.cls", "x.n", "x.comp"))
     held = held.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
     present = held.groupBy("list").agg(F.collect_set("block").alias("present"))  # at most `blocks` numbers
-    dealt = held.join(present, "list").withColumn("other", F.explode("present"))
+    dealt = _by_list(held, present).withColumn("other", F.explode("present"))
     dealt = dealt.select(F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "list", "cls", "n", "comp", "w")
     return dealt.groupBy("first", "second").applyInArrow(_reaching, "a long, b long")
 
@@ -429,14 +433,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
         rest = F.greatest(F.floor((3 * F.col("na") + 3) / 4), F.floor((3 * F.col("nb") + 3) / 4)) - 1
         reaches = F.col("o") + rest >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
         pairs = counted.filter("kind = 1").groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        sizes = counted.filter("kind = 2").select("list", F.col("o").alias("w"))
-        held = table(_longs("held", "cls")(counted.filter("kind = 2")).join(sizes, "list").join(reps, "cls"), "join-held")
+        held = table(_longs("held", "cls")(counted.filter("kind = 2")).join(reps, "cls"), "join-held")
         pairs = pairs.filter(reaches).select("a", "b").union(_stars(held))
         joined(verified(rows, reps, table(pairs.distinct(), "join-pairs")))
         at = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
         lists = held.join(at, "cls")
         spread = lists.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-        lists = table(lists.join(spread, "list"), "join-lists")
+        lists = table(_by_list(lists, spread), "join-lists")
         last_level = level == LEVELS - 1
         few = lists if last_level else lists.filter(F.col("k") <= FEW)
         across = table(_between(few, counted.filter("kind = 1")), "join-across")
@@ -454,8 +457,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (of equal ids, the first
-    by text); rows without words all stay.  Same columns."""
-    found = join(docs, id_col, text_col)
-    drop = table(found.filter("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct(), "join-drop")
-    return docs.join(drop, id_col, "left_anti")
+    """docs with one row of each component: of its smallest id, and of rows that share that id the one
+    with the smallest hash of its text (then of the whole row).  Rows without words all stay.  Same
+    columns.  Rows are told apart by a key of their own, written once, so rows that share an id, or
+    have none, are judged one by one."""
+    keyed = table(docs.withColumn(_KEY, F.monotonically_increasing_id()), "join-keyed")
+    found = join(keyed.select(_KEY, text_col), _KEY, text_col).filter("n_shingles > 0").select(F.col("doc_id").alias(_KEY), F.col("component_id").alias(_COMP))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(_KEY).alias("row"))
+    ranked = found.join(keyed.select(_KEY, id_col, text_col).select(_KEY, order.alias("_order")), _KEY)
+    best = ranked.groupBy(_COMP).agg(F.min("_order").alias("best"))  # combines before the shuffle
+    single = found.groupBy(_COMP).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_COMP)
+    drop = found.join(single, _COMP, "left_semi").join(best.select(F.col("best.row").alias(_KEY)), _KEY, "left_anti").select(_KEY)
+    drop = table(drop, "join-drop")
+    out = keyed.join(drop, _KEY, "left_anti").drop(_KEY)
+    return out
