@@ -1,6 +1,7 @@
 """Helpers shared by the operators: shared-folder tables, words, worker caches."""
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import tempfile
@@ -64,6 +65,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Shipped:
+    """A vocabulary file by broadcast, so that executors need not have it; `key` names its content."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            data = f.read()
+        self.key, self.held = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+    @property
+    def data(self) -> bytes:
+        return self.held.value
+
+
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -132,23 +146,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words with A-Z lowered, words of each text), from the column's own memory.
-
-    A word's hash is a sum over its bytes of a random value for the byte times a power for its place,
-    mixed with its length.  Texts of any length are taken CHUNK bytes at a time, cut between words;
-    null texts have no words."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kept = worker_cache()
     if "hash_tables" not in kept:
         kept["hash_tables"] = _hash_tables()
-    value, blank, power = kept["hash_tables"]
+    return kept["hash_tables"]
+
+
+def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, bounds of each) from the column's own memory; null texts are empty."""
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
     if not len(texts) or data is None:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-    at -= at[0]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes that begin at `start` (ascending, the first at 0) and end at the next.
+
+    Sums over the bytes of a random value for the byte and a power for its place, mixed with the
+    run's length; upper and lower case differ."""
+    value, power = _cased(), _tables()[2]
+    out, ends, lo = np.empty(len(start), np.uint64), np.append(start[1:], len(raw)), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(ends, start[lo] + CHUNK, "right")))
+        x, y = int(start[lo]), int(ends[hi - 1])
+        first = start[lo:hi] - x
+        size = ends[lo:hi] - start[lo:hi]
+        place = np.arange(y - x) - np.repeat(first, size)
+        out[lo:hi] = mixed(np.add.reduceat(value[raw[x:y]] * power[place & (PLACES - 1)], first) + size.astype(np.uint64))
+        lo = hi
+    return out
+
+
+def _cased() -> np.ndarray:
+    kept = worker_cache()
+    if "cased" not in kept:
+        kept["cased"] = np.random.default_rng(20240613).integers(0, 1 << 63, 256, dtype=np.uint64)
+    return kept["cased"]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words with A-Z lowered, words of each text), from the column's own memory.
+
+    A word's hash is as in `run_hashes`, but for its case.  Texts of any length are taken CHUNK bytes
+    at a time, cut between words; null texts have no words."""
+    value, blank, power = _tables()
+    raw, at = raw_texts(texts)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     space, opens = blank[raw], np.zeros(len(raw) + 1, bool)
     opens[at[:-1]] = True  # texts begin here
     hashes, begins, lo = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -160,8 +208,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             if len(back):
                 hi = lo + int(back[-1]) + 1
             else:
-                while hi < len(raw) and not (space[hi - 1] or opens[hi]):
-                    hi += 1
+                on = np.flatnonzero(space[hi:] | opens[hi:-1])
+                hi += int(on[0]) if len(on) else len(raw)
+        hi = min(hi, len(raw))
         own = np.flatnonzero(~space[lo:hi])
         if len(own):
             first = np.flatnonzero(np.concatenate(([True], np.diff(own) > 1)) | opens[lo + own])

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foretide.llm import bpe_pieces, components, jaccard_join, mixing, neighbours, pii, pitman_yor, quality, sharding, token_store, toxicity
 
@@ -149,6 +150,11 @@ def test_join(spark, docs, none, rows):
     first = jaccard_join.first_of_each(docs)
     kept = [r.doc_id for r in first.select("doc_id").collect()]
     assert first.columns == docs.columns and set(kept) == {i for i, (n, c) in want.items() if n == 0 or c == i}
+    assert len(kept) == len(set(kept))
+    w, v = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    shared = [(1, w), (1, w), (2, w), (5, w), (5, v), (None, w), (None, v + " x"), (None, "z"), (7, None), (7, None), (None, "")]
+    some = jaccard_join.first_of_each(spark.createDataFrame(shared, "doc_id long, text string"))
+    assert sorted(map(tuple, some.collect()), key=str) == sorted([(1, w), (5, v), (None, "z"), (7, None), (7, None), (None, "")], key=str)
     # common passages, near copies in plenty, chains
     r, made = random.Random(7), []
     passages = [" ".join(f"p{k}_{i}" for i in range(50)) for k in range(2)]
@@ -209,10 +215,10 @@ def test_pieces(spark, docs, none, rows):
         ids = enc.encode_ordinary(text[g.doc_id])
         assert g.n_tokens == len(ids) and g.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and g.decoded_sha256 == hashlib.sha256(text[g.doc_id].encode()).hexdigest()
     assert bpe_pieces.digests(none, RANKS, public_tokenizers.PATTERN).count() == 0
-    own, r = bpe_pieces.codec(RANKS, public_tokenizers.PATTERN), random.Random(0)
+    own, r = bpe_pieces.PieceCodec(bpe_pieces.read_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN), random.Random(0)
     for _ in range(2000):
         s = "".join(r.choice(["a", "B", " ", "  ", "\n", "é", "²", "½", "_", "日本", "́", "\x1c", "\x85", "\xa0", "'s", "'", "9", "٣", "😀", "\t", "!"]) for _ in range(r.randint(0, 24)))
-        assert own.encode(s) == enc.encode_ordinary(s), repr(s)
+        assert own.encode(s).tolist() == enc.encode_ordinary(s), repr(s)
     coded = bpe_pieces.encode_column(docs, RANKS, public_tokenizers.PATTERN)
     back = bpe_pieces.decode_column(coded, RANKS, public_tokenizers.PATTERN)
     assert back.filter("decoded <> encode(coalesce(text, ''), 'UTF-8')").count() == 0 and back.columns[:-2] == docs.columns
@@ -240,13 +246,36 @@ def test_store(spark, docs, none, rows, tmp_path):
     assert chunks.count() == chunks.select("hash").distinct().count() < token_store.recipes(spark, path).select(F.explode("hashes")).count()
     damaged = f"{tmp_path}/damaged"
     token_store.write(docs.filter("doc_id < 50"), damaged, file)
-    recipes = token_store.recipes(spark, damaged).withColumn("root", F.when(F.col("doc_id") == 3, F.lit(b"x")).otherwise(F.col("root")))
-    rows_ = recipes.collect()
-    spark.createDataFrame(rows_, recipes.schema).write.mode("overwrite").parquet(f"{damaged}/recipes")
-    assert token_store.verify(spark, damaged).count() == 1
+    whole = token_store.recipes(spark, damaged).collect()
+    other = next(r for r in whole if r.doc_id == 5)
+    schema = token_store.recipes(spark, damaged).schema
+    for changed, seen in (({"hashes": other.hashes, "sizes": other.sizes}, 1), ({"root": bytearray(b"x")}, 0)):
+        rows_ = [T.Row(**(r.asDict() | changed)) if r.doc_id == 3 else r for r in whole]
+        spark.createDataFrame([tuple(r[f] for f in schema.names) for r in rows_], schema).write.mode("overwrite").parquet(f"{damaged}/recipes")
+        assert token_store.verify(spark, damaged).count() == seen
+        with pytest.raises(Exception, match="is damaged"):
+            token_store.digests(spark, damaged).collect()
     assert token_store.build(none, file).count() == 0
 
 
+def test_units_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    with open(file, encoding="utf-8") as f:
+        own = token_store.Encoder(f.read(), 2)
+    tok = Tokenizer.from_file(file)
+    tok.encode_special_tokens = True
+    r = random.Random(4)
+    bits = ["a", "b c", "\0b", " \0", " ", "  ", "\n", "\t", " \n ", "\u00a0", "\u2003", "é", "à ", "日本", "'s", "12", "<|endoftext|>", "foo", "à", "\u3000", "\x1c", "…", "😀"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(5000)] + ["a \0b", "x" * 5000, None]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        ids, n = own(pa.array(["skipped", *part]).slice(1))
+        ends = np.cumsum(n).tolist()
+        assert [ids[e - k : e].tolist() for e, k in zip(ends, n.tolist())] == [tok.encode(t or "", add_special_tokens=False).ids for t in part]
+
+
 def test_personal_data(spark, docs, none):
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     only = lambda m: re.sub("[^0-9]", "", m)
