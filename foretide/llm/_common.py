@@ -45,7 +45,15 @@ def table(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     recompute it nor depend on the executor that made it."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Deletes tables that `table` wrote and nothing reads any more."""
+    for df in written:
+        delete(df.sparkSession, df.written_to)
 
 
 @contextmanager

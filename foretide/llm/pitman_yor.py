@@ -1,8 +1,8 @@
 """A hierarchical Pitman-Yor language model of word pairs, by Gibbs sampling of its seating.
 
 Restaurants: one for each context, all with the unigram restaurant as parent, whose base is uniform
-over the training words and one unknown.  A context is the word before, by its whole 64-bit hash
-(the start and the end of a text are one word).  Customers are training tokens.  Each dish of each
+over the training words and one unknown.  A context is the word before, by 48 bits of its hash
+(the start and the end of a text are one word); words go by 64 bits.  Customers are training tokens.  Each dish of each
 context keeps its tables with the number of customers at each.  A sweep takes `visits` customers of
 every dish, one after another: a customer drawn at random leaves its table, which goes if it was
 alone, and sits down anew at a table in proportion to n - d, or at a new one in proportion to
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, crc_mod, give_back, mixed, released, settled, text_of, word_hashes
+from ._common import arrow_rows, crc_mod, forget, give_back, mixed, released, settled, text_of, word_hashes
 
 #: Documents of a block; their numbers and the training bit take 12 bits.
 BLOCK = 2000
@@ -125,7 +125,7 @@ def _emit(parts: int, hot: np.ndarray):
                 out, kinds = [], []
                 for p, x, y in zip(present.tolist(), ends.tolist(), [*ends[1:].tolist(), len(home)]):
                     new = np.flatnonzero(np.concatenate(([True], words[x + 1 : y] != words[x : y - 1])))
-                    out.append(pack(words[x:y][new], np.diff(np.append(new, y - x)).astype(np.uint32), contexts[x:y], runs[x:y].astype(np.uint32), doc[upto[x] : upto[y]]))
+                    out.append(pack(words[x:y][new], np.diff(np.append(new, y - x)).astype(np.uint32), (contexts[x:y] >> np.uint64(32)).astype(np.uint32), (contexts[x:y] >> np.uint64(16)).astype(np.uint16), runs[x:y].astype(np.uint32), doc[upto[x] : upto[y]]))
                     kinds.append((p, 0))
                 ids = np.array([(0, 1) if i is None else (i, 0) for i in some.column(0).to_pylist()], np.int64).reshape(-1)
                 out.append(pack(sizes.astype(np.int64), train.astype(np.uint8), ids))
@@ -245,8 +245,8 @@ def root_tables(c: np.ndarray, state: dict, model: dict, rng) -> np.ndarray:
 
 
 #: Kinds of rows: a part's pairs, a block's documents, a part's seating after a step, a part's share of
-#: a bucket's contexts, and the totals of these contexts.
-PAIRS, DOCUMENTS, SEATING, SHARE, TOTALS = range(5)
+#: a bucket's contexts, the totals of these contexts, and their places in the bucket.
+PAIRS, DOCUMENTS, SEATING, SHARE, TOTALS, PLACES = range(6)
 #: n, v: training tokens and words; c0, t0: customers and tables of the root; one, two: dishes with one and
 #: two customers, in the contexts (a) and the root (b).  Hot words are left out and added on the driver.
 _SUMS = ["n", "v", "c0", "t0", "one_a", "two_a", "one_b", "two_b"]
@@ -262,22 +262,32 @@ def _rows(out: list[tuple], schema: str):
 
 
 def _shares(part: int, step: int, contexts: np.ndarray, own: Part, t: np.ndarray, buckets: int) -> list[tuple]:
-    """A row for every bucket that holds some of the part's contexts (sorted)."""
+    """A row for every bucket that holds some of the part's contexts (sorted): their tables; in step 0
+    also the contexts and their customers."""
     cu, tu = (x.astype(np.int64) for x in own.shares(t))
     at = [*np.searchsorted(contexts, np.array([(x << 64) // buckets for x in range(buckets)], np.uint64)).tolist(), len(contexts)]
-    return [(part, SHARE, step, x, contexts[lo:hi].tobytes(), pack(cu[lo:hi]), pack(tu[lo:hi])) for x, (lo, hi) in enumerate(zip(at, at[1:])) if lo < hi]
+    spans = [(x, lo, hi) for x, (lo, hi) in enumerate(zip(at, at[1:])) if lo < hi]
+    return [(part, SHARE, step, x, None if step else contexts[lo:hi].tobytes(), None if step else pack(cu[lo:hi]), pack(tu[lo:hi])) for x, lo, hi in spans]
 
 
 def _settle(key, rows):
-    """Adds up one bucket's contexts over all parts, and gives each part the totals of those that it holds."""
-    found = sorted(zip(*(rows.column(x).to_pylist() for x in ("part", "step", "a", "b", "c"))), key=lambda x: x[0])
-    names, at = np.unique(np.concatenate([np.frombuffer(x[2], np.uint64) for x in found]), return_inverse=True)
-    cu, tu = (np.bincount(at, np.concatenate([unpack(x[i], np.int64)[0] for x in found]), len(names)).astype(np.int64) for i in (3, 4))
-    out, lo = [], 0
-    for part, step, a, _, _ in found:
-        hi = lo + len(a) // 8
-        out.append((part, TOTALS, step, key[0].as_py(), pack(cu[at[lo:hi]]), pack(tu[at[lo:hi]])))
-        lo = hi
+    """Adds up one bucket's contexts over all parts, and gives each part the totals of those that it
+    holds.  Step 0 gives the places of each part's contexts in the bucket too; later steps come with them."""
+    own = sorted(rows.filter(pa.array(np.asarray(rows.column("kind")) == SHARE)).select(["part", "step", "a", "b", "c"]).to_pylist(), key=lambda r: r["part"])
+    step = own[0]["step"]
+    if step:
+        places = {r["part"]: unpack(r["a"], np.uint32)[0] for r in rows.filter(pa.array(np.asarray(rows.column("kind")) == PLACES)).select(["part", "a"]).to_pylist()}
+        each = [places[r["part"]] for r in own]
+    else:
+        at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in own]), return_inverse=True)[1].astype(np.uint32)
+        each = np.split(at, np.cumsum([len(r["a"]) // 8 for r in own])[:-1])
+    whole = np.concatenate(each)
+    tu = np.bincount(whole, np.concatenate([unpack(r["c"], np.int64)[0] for r in own])).astype(np.int64)
+    cu = None if step else np.bincount(whole, np.concatenate([unpack(r["b"], np.int64)[0] for r in own])).astype(np.int64)
+    bucket = key[0].as_py()
+    out = [(r["part"], TOTALS, step, bucket, None if step else pack(cu[x]), pack(tu[x])) for r, x in zip(own, each)]
+    if not step:
+        out += [(r["part"], PLACES, 0, bucket, pack(x)) for r, x in zip(own, each)]
     give_back()
     return _rows(out, _ROWS)
 
@@ -320,9 +330,9 @@ def _gather(parts: int, hot: np.ndarray):
         if blocks:
             hs, cs, runs_, docs = [], [], [], []
             for at, i in enumerate(order):
-                words, pairs, contexts, runs, doc = unpack(found.column("x")[int(i)].as_buffer(), np.uint64, np.uint32, np.uint64, np.uint32, np.uint16)
+                words, pairs, high, low, runs, doc = unpack(found.column("x")[int(i)].as_buffer(), np.uint64, np.uint32, np.uint32, np.uint16, np.uint32, np.uint16)
                 hs.append((words, pairs))
-                cs.append(contexts)
+                cs.append(high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64) << np.uint64(16))
                 runs_.append(runs)
                 docs.append(doc.astype(np.uint32) + np.uint32(at * WIDE) if at < (1 << 20) else doc.astype(np.uint64) + np.uint64(at * WIDE))
             del found
@@ -416,19 +426,27 @@ def score(docs: DataFrame, sweeps: int = 3, part_bytes: int = 16 << 20, id_col:
 
         return run
 
+    kept = range(burn + 1, burn + sweeps + 1)
+
+    def settle() -> None:
+        rows = shares.unionByName(places) if places is not None else shares
+        totals.append(settled(rows.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
+
+    places = None
     with arrow_rows(spark, 1):
         for k in range(1, burn + sweeps + 1):
-            totals.append(settled(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
-            rows = pairs.unionByName(totals[-1])
+            settle()
+            places = totals[0].filter(F.col("kind") == PLACES)
+            rows = pairs.unionByName(totals[-1].filter(F.col("kind") == TOTALS))
             if seatings:
-                rows = rows.unionByName(seatings[-1])
-            moved = settled(rows.groupBy("part").applyInArrow(sweep(k, states[-1]), _ROWS), "lm-sweep")
-            seatings.append(moved.filter(F.col("kind") == SEATING))
-            shares = moved.filter(F.col("kind") == SHARE)
-            sums, each = _sums(seatings[-1], len(hot))
+                rows = rows.unionByName(seatings[-1].filter(F.col("kind") == SEATING))
+            seatings.append(settled(rows.groupBy("part").applyInArrow(sweep(k, states[-1]), _ROWS), "lm-sweep"))
+            if 1 < k <= burn + 1:  # what no later sweep or score reads
+                forget(totals[-1], seatings[-2])
+            shares = seatings[-1].filter(F.col("kind") == SHARE)
+            sums, each = _sums(seatings[-1].filter(F.col("kind") == SEATING), len(hot))
             states.append(state_of(sums, each[len(hot) :], k, states[-1]))
-        totals.append(settled(shares.groupBy("bucket").applyInArrow(_settle, _ROWS), "lm-totals"))
-    kept = range(burn + 1, burn + sweeps + 1)
+        settle()
 
     def mark(key, rows):
         """Sums of a part's tokens for each document that has some here, a row for each block."""
@@ -475,9 +493,9 @@ def score(docs: DataFrame, sweeps: int = 3, part_bytes: int = 16 << 20, id_col:
 
     rows = mine.select(*_KEYS, "blocks", "runs", "doc")
     empty = F.lit(None).cast("binary")
-    used = [totals[0].withColumn("b", empty), *(totals[k].withColumn("a", empty) for k in kept), *(seatings[k - 1] for k in kept)]
+    used = [totals[0].withColumn("b", empty), *(totals[k] for k in kept), *(seatings[k - 1] for k in kept)]
     for x in used:
-        rows = rows.unionByName(x, allowMissingColumns=True)
+        rows = rows.unionByName(x.filter(F.col("kind").isin(TOTALS, SEATING)), allowMissingColumns=True)
     with arrow_rows(spark, 1):
         marked = settled(rows.groupBy("part").applyInArrow(mark, "block string, part int, x binary, y binary"), "lm-sums")
     heads = got.filter(F.col("kind") == DOCUMENTS).select(F.col("blocks")[0].alias("block"), F.lit(-1).alias("part"), empty.alias("x"), F.col("a").alias("y"))
