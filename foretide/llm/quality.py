@@ -3,7 +3,8 @@ rules, failing lines are removed, and a document that loses too much of its text
 
 Line rules (a line without words is never judged and stays):
 * navigation: at least 3 separator words, or separators are a quarter of the line's words;
-* boilerplate: holds a phrase of BOILERPLATE, in any case of A-Z;
+* boilerplate: a phrase of BOILERPLATE between word borders, in any case of A-Z, on a line of up to 15
+  words, or phrases that are a quarter of a longer line's words;
 * symbols: more marks of `#*$%&|<>` than half its words;
 * shouting: 6 words or more, four fifths of the letters in capitals;
 * punctuation: under 4 words without a closing mark, unless it is the only line;
@@ -26,9 +27,15 @@ from ._common import WORD_RE, released
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = frozenset(("|", ">", "»", "·", "•", "/", "-", "::"))
 CLOSING = tuple(".!?…:;\"'”’)]»")
-#: Phrases of notices and page furniture.
-BOILERPLATE = ("all rights reserved", "this work is licensed under", "licensed under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "click here", "sign in", "log in", "subscribe to our", "back to top", "lorem ipsum")
-BOILER_RE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+#: Phrases of notices and page furniture, in the languages at hand.
+BOILERPLATE = (
+    "all rights reserved", "this work is licensed under", "licensed under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "we use cookies", "enable javascript", "click here", "sign in", "log in", "subscribe to our", "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "wir verwenden cookies", "hier klicken", "nach oben",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "nous utilisons des cookies", "cliquez ici", "haut de page",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utilizamos cookies", "haga clic aquí", "volver arriba",
+)
+BOILER_RE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, BOILERPLATE)) + r")(?!\w)")
+SHORT = 15
 #: Letters that are counted, as Latin-1: capitals, and small ones.
 UPPER, LOWER = (re.sub(rb"[^%b]" % x.encode("latin-1"), b"", bytes(range(256))) for x in ("A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"))
 
@@ -54,7 +61,8 @@ def line_fails(line: str, words: list[str], alone: bool, again: bool) -> bool:
         return True
     if n >= 6 and shouts(line):
         return True
-    return BOILER_RE.search(line.lower()) is not None
+    phrases = BOILER_RE.findall(line.lower())
+    return bool(phrases) and (n <= SHORT or 4 * sum(p.count(" ") + 1 for p in phrases) >= n)
 
 
 def repeated_words(words: list[str], size: int = 3) -> int:
