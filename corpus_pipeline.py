@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of documents.  `run` writes each stage in the shared folder and reads it
 again, so a lost executor costs one stage at most.
+
+Defined cases, for every stage: a null text counts as empty and is carried as it is; empty texts are
+rejected by the quality rules; texts of any length are taken whole; rows that share an id, or have
+none, are judged one by one; repeated rows are near duplicates, of which one stays; an empty table
+gives an empty table; other columns pass through, whatever their names.
 """
 from pyspark.sql import functions as F
 
@@ -31,11 +36,8 @@ def personal_data(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Each document as often as the mix takes it.  Rows that share an id share its copies evenly,
-    rounded."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.round(F.avg("copies")).cast("int").alias("copies")).filter("copies > 0")
-    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*docs.columns)
+    """Each row as often as the mix takes it."""
+    return mixing.repeated(docs)
 
 
 def byte_bpe(spark, docs, sf_dir):
