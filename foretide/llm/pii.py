@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._common import table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Columns of our own beside a table's.
+BASE_COL, WIDE_COL, SPANS_COL = "_foretide_base", "_foretide_wide", "_foretide_spans"
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -34,6 +36,15 @@ ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?![A-Za-z
 NUMBER = r"(?<![A-Za-z0-9.+(-])[0-9(][0-9().\x20-]{5,40}[0-9](?![A-Za-z0-9])"
 MAILISH = r"(?<![A-Za-z0-9@])[A-Za-z0-9]{2,32}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{2,32}+"
 CANDIDATE = f"{SECRET}|{ACCOUNT}|{NUMBER}|{MAILISH}"
+#: Country codes that begin an international bank account number, and its length there.
+ACCOUNTS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+#: Names of secrets, and numbers that stand in for real ones.
+SECRETS = ("password", "passwd", "passwort", "kennwort", "mot de passe", "contraseña", "clave", "secret", "api", "token")
+DUMMIES = ("0000000", "1111111", "1234567", "7654321", "9999999", "123-45-6789", "555-0100", "example", "changeme")
 #: Words that come before personal data, and words that come before other numbers.
 CUES = r"(?i)\b(?:call|phone|tel|telephone|mobile|fax|contact|mail|email|e-mail|card|visa|iban|account|ssn|ip|login|teléfono|correo|tarjeta|téléphone|courriel|carte|telefon|karte|konto)\b"
 OTHER = r"(?i)(?:\bversion|\bv|\bpage|\bp\.|\bfig\.?|\bfigure|\bchapter|\bisbn|\border|\bno\.|\bnr\.|§|#|\$|€|£)\s*$"
@@ -59,13 +70,18 @@ BASE = {
 }
 
 
-def matches(text: Column, pattern: str, around: bool = False) -> Column:
-    """array<struct<m, start, end[, left, right]>> of the leftmost non-overlapping matches: `split`
-    gives the text between them, whose lengths add up to offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.element_at(gaps, i + 1).alias("left"), F.element_at(gaps, i + 2).alias("right")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int,left:string,right:string>>").alias("out"))
+#: Matches whose offsets are added up together.  Lists grow by copies, so a list of n matches costs
+#: n * CHUNK copies within chunks and (n / CHUNK) ** 2 between them, not n ** 2.
+CHUNK = 128
+_MATCH = "struct<m:string,start:int,end:int,left:string,right:string>"
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<m, start, end, left, right>> of the leftmost non-overlapping matches: `split` gives
+    the text between them, whose lengths add up to offsets.  left, right: up to 40 and 16 characters
+    around a match, as far as the next match."""
+    none = F.array().cast(f"array<{_MATCH}>")
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
 
     def step(acc, x):
         begin = acc.at + F.length(x.left)
@@ -73,18 +89,39 @@ def matches(text: Column, pattern: str, around: bool = False) -> Column:
         one = F.struct(x.m.alias("m"), begin.alias("start"), end.alias("end"), F.right(x.left, F.lit(40)).alias("left"), F.left(x.right, F.lit(16)).alias("right"))
         return F.struct(end.alias("at"), F.concat(acc.out, F.array(one)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc.out)).otherwise(F.array().cast("array<struct<m:string,start:int,end:int,left:string,right:string>>"))
+    def chunk(x, k):
+        """The matches of chunk k with offsets from its own beginning, and its length."""
+        m, gap = F.slice(x.m, k * CHUNK + 1, F.lit(CHUNK)), F.slice(x.gap, k * CHUNK + 1, F.lit(CHUNK + 1))
+        rows = F.transform(m, lambda v, i: F.struct(v.alias("m"), F.get(gap, i).alias("left"), F.get(gap, i + 1).alias("right")))
+        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def whole(x):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x.m) - 1) / CHUNK).cast("int")), lambda k: chunk(x, k))
+        moved = lambda acc, c: F.struct((acc.at + c.at).alias("at"), F.concat(acc.out, F.array(F.struct(acc.at.alias("by"), c.out.alias("out")))).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<by:int,out:array<{_MATCH}>>>").alias("out"))
+        placed = F.aggregate(chunks, start, moved, lambda acc: acc.out)
+        shift = lambda c: F.transform(c.out, lambda m: F.struct(m.m.alias("m"), (m.start + c.by).alias("start"), (m.end + c.by).alias("end"), m.left.alias("left"), m.right.alias("right")))
+        return F.flatten(F.transform(placed, shift))
+
+    # An array of one binds the matches to a name, so the pattern runs once.
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(found), whole), 1)).otherwise(none)
 
 
 def form(m: Column) -> Column:
     return F.when(m.rlike(f"^(?:{SECRET})"), "secret").when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), "account").when(m.rlike(r"\(at\)|\[at\]"), "email").otherwise("number")
 
 
+def _account_length(m: Column) -> Column:
+    """An account number is as long as its country's are."""
+    wanted = F.create_map(*(F.lit(x) for kv in sorted(ACCOUNTS.items()) for x in kv))
+    return F.length(F.regexp_replace(m, " ", "")) == F.coalesce(F.try_element_at(wanted, F.substring(m, 1, 2)), F.lit(-1))
+
+
 #: Labelers: votes from the match, the text on its left and on its right.
 LABELERS = {
     "regex_secret": lambda m, a, z: F.when(m.rlike(r"[=:][\x20\x09\"']*(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}$"), 1).when(m.rlike(f"^(?:{SECRET})"), -1).otherwise(0),
     "regex_number": lambda m, a, z: F.when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), 1).when(m.rlike(r"^(?:19|20)[0-9]{2}[.-][0-9]{1,2}[.-][0-9]{1,2}$|^[0-9]+\.[0-9]+$"), -1).otherwise(0),
-    "gazetteer": lambda m, a, z: F.when(m.rlike(r"(?i)password|passwd|secret|api"), 1).when(m.rlike(r"^(?:AT|BE|CH|DE|ES|FR|GB|IT|NL|PT)[0-9]{2}"), 1).when(m.rlike(r"^(?:[0-9])\1*$|0000000|1234567"), -1).otherwise(0),
+    "gazetteer": lambda m, a, z: F.when(F.lower(m).rlike("|".join(DUMMIES)) | m.rlike(r"^([0-9])\1*$"), -1).when(F.lower(m).rlike("|".join(SECRETS)), 1).when(m.rlike(r"^[A-Z]{2}[0-9]{2}"), F.when(_account_length(m), 1).otherwise(-1)).otherwise(0),
     "length": lambda m, a, z: F.when(form(m) != "number", 0).when(F.length(_digits(m)).between(9, 13), 1).when(F.length(_digits(m)) < 8, -1).otherwise(0),
     "cue": lambda m, a, z: F.when(a.rlike(CUES), 1).otherwise(0),
     "other": lambda m, a, z: F.when(a.rlike(OTHER) | z.rlike(r"^\s*(?:%|€|\$|km|kg|cm|mm|pm|am)\b"), -1).otherwise(0),
@@ -92,7 +129,7 @@ LABELERS = {
 
 
 def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `base` (array<struct<kind, start, end>>, kinds as listed, then by start) and `wide`
+    """docs with BASE_COL (array<struct<kind, start, end>>, kinds as listed, then by start) and WIDE_COL
     (candidates that touch no base span: start, end, form, bucket, cue, votes)."""
     text = text_of(F.col(text_col))
 
@@ -106,8 +143,8 @@ def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
         votes = F.array(*(f(x.m, x.left, x.right).cast("int") for f in LABELERS.values()))
         return F.struct(x.start.alias("start"), x.end.alias("end"), form(x.m).alias("form"), F.least(F.floor(F.length(x.m) / 4), F.lit(8)).cast("int").alias("bucket"), x.left.rlike(CUES).alias("cue"), votes.alias("votes"))
 
-    wide = F.transform(F.filter(matches(text, CANDIDATE), lambda x: ~F.exists(F.col("base"), lambda b: (b.start < x.end) & (x.start < b.end))), judged)
-    return docs.withColumn("base", base).withColumn("wide", wide)
+    wide = F.transform(F.filter(matches(text, CANDIDATE), lambda x: ~F.exists(F.col(BASE_COL), lambda b: (b.start < x.end) & (x.start < b.end))), judged)
+    return docs.withColumn(BASE_COL, base).withColumn(WIDE_COL, wide)
 
 
 def reliabilities(counts: list[tuple[tuple, int]], rounds: int = 30) -> tuple[float, list[dict], dict]:
@@ -136,7 +173,7 @@ def reliabilities(counts: list[tuple[tuple, int]], rounds: int = 30) -> tuple[fl
 
 def train(annotated: DataFrame) -> dict:
     """The span classifier: log-odds of form, length bucket and cue (bounded tables)."""
-    seen = annotated.select(F.explode("wide").alias("w")).groupBy("w.votes", "w.form", "w.bucket", "w.cue").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = annotated.select(F.explode(WIDE_COL).alias("w")).groupBy("w.votes", "w.form", "w.bucket", "w.cue").agg(F.count(F.lit(1)).alias("n")).collect()
     if not seen:
         return {"prior": 0.0, "form": {}, "bucket": {}, "cue": {}, "votes": {}}
     by: dict = {}
@@ -168,8 +205,8 @@ def accepted(model: dict, threshold: float = 0.5) -> Column:
     def odds(w):
         return F.lit(model["prior"]) + look("form", w.form) + look("bucket", w.bucket) + look("cue", w.cue)
 
-    fits = F.filter("wide", lambda w: (odds(w) > math.log(threshold / (1 - threshold))) & F.exists(w.votes, lambda v: v > 0))
-    return F.concat(F.col("base"), F.array_sort(F.transform(fits, lambda w: F.struct(w.form.alias("kind"), w.start.alias("start"), w.end.alias("end")))))
+    fits = F.filter(WIDE_COL, lambda w: (odds(w) > math.log(threshold / (1 - threshold))) & F.exists(w.votes, lambda v: v > 0))
+    return F.concat(F.col(BASE_COL), F.array_sort(F.transform(fits, lambda w: F.struct(w.form.alias("kind"), w.start.alias("start"), w.end.alias("end")))))
 
 
 def _joined(spans: Column) -> Column:
@@ -185,20 +222,20 @@ def ordered(spans: Column) -> Column:
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of base spans by kind, their digest, all spans, and all spans as an array."""
-    found = table(annotate(docs.select(id_col, text_col), text_col).select(id_col, "base", "wide"), "pii-spans")
+    found = table(annotate(docs.select(id_col, text_col), text_col).select(id_col, BASE_COL, WIDE_COL), "pii-spans")
     model = train(found)
-    out = found.withColumn("all", ordered(accepted(model)))
+    out = found.withColumn(SPANS_COL, ordered(accepted(model)))
 
     def count(kind):
-        return F.size(F.filter("base", lambda b: b.kind == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter(BASE_COL, lambda b: b.kind == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return out.select(id_col, *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), F.col("all").alias("span_list"))
+    return out.select(id_col, *counts, F.sha2(_joined(F.col(BASE_COL)), 256).alias("base_sha256"), _joined(F.col(SPANS_COL)).alias("spans"), F.col(SPANS_COL).alias("span_list"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in angle brackets; same columns."""
-    seen = annotate(docs, text_col)
+    seen = table(annotate(docs, text_col), "pii-annotated")
     model = train(seen)
     spans = F.array_sort(F.transform(accepted(model), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
     text = F.col(text_col)
@@ -207,6 +244,6 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         piece = F.substring(text, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
         return F.when(s.end <= acc.at, acc).otherwise(F.struct(s.end.alias("at"), F.concat(acc.out, piece, F.lit("<"), s.kind, F.lit(">")).alias("out")))
 
-    done = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-    kept = [F.when(F.size("_spans") > 0, done).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    return seen.withColumn("_spans", spans).select(*kept)
+    done = F.aggregate(F.col(SPANS_COL), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    kept = [F.when(F.size(SPANS_COL) > 0, done).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    return seen.withColumn(SPANS_COL, spans).select(*kept)
