@@ -12,7 +12,7 @@ there are enough, by hash of the id); every document is scored whole.
 
 Defined cases: null or empty texts have no matches and get the model's score for none; without
 labelled rows of both labels the seeds and fixed coefficients are used; labels that repeat count
-once, toxic if any is; repeated documents are scored row by row; an empty table gives no rows.
+once, toxic if any is; a text that repeats is learned from once, toxic if any of its rows is; repeated documents are scored row by row; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -46,8 +46,23 @@ def normal(word: str) -> str:
     return w.translate(LEET) if w and not w.isalpha() and LETTERS.search(w) else w
 
 
-def near_any(w: str, shorter: set[str]) -> bool:
-    return w in shorter or any(w[:i] + w[i + 1 :] in shorter for i in range(len(w)))
+def automaton(word: str) -> dict[str, int]:
+    """The word's Levenshtein automaton for one edit: of each letter, the places where it stands.
+
+    A state is two sets of places as bits, reached without an edit and with one; see `step`."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(word):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def step(places: dict[str, int], exact: int, edited: int, c: str) -> tuple[int, int, int]:
+    """(exact, edited, places that c itself led to) after the letter c of an entry: it stands in the
+    word, replaces a letter of the word, is not in the word, or follows a letter that the entry lacks."""
+    at = places.get(c, 0)
+    new = (exact & at) << 1
+    same = (edited & at) << 1
+    return new, same | exact << 1 | exact | new << 1, new | same | new << 1 & at << 1
 
 
 class Lexicon:
@@ -58,62 +73,56 @@ class Lexicon:
         self.words = {e: w for e, (w, stem) in entries.items() if not stem}
         self.stems = {e.removesuffix("*"): w for e, (w, stem) in entries.items() if stem}
         self.stem_sizes = sorted({len(e) for e in self.stems})
-        self.trie, self.shorter = self.grown(self.words)
-        self.stem_trie, self.stem_shorter = self.grown(self.stems)
-        sizes = [k for k in self.stem_sizes if k >= 5]
-        self.beginnings = range(sizes[0] - 1, sizes[-1] + 2) if sizes else range(0)
+        #: Tries of the words of each length: within one edit lengths differ by one at most.
+        self.tries = {n: self.grown(e for e in self.words if len(e) == n) for n in {len(e) for e in self.words} if n >= 5}
+        self.stem_trie = self.grown(e for e in self.stems if len(e) >= 5)
+        self.longest_stem = max(self.stem_sizes, default=0)
+        self.longest = max(max(self.tries, default=0), self.longest_stem) + 1
 
     @staticmethod
-    def grown(entries) -> tuple[dict, set[str]]:
-        """The trie, and the entries with their forms without a letter."""
-        trie, shorter = {}, set()
+    def grown(entries) -> dict:
+        trie: dict = {}
         for e in entries:
-            if len(e) >= 5:
-                node = trie
-                for c in e:
-                    node = node.setdefault(c, {})
-                node[""] = e
-                shorter |= {e, *(e[:i] + e[i + 1 :] for i in range(len(e)))}
-        return trie, shorter
+            node = trie
+            for c in e:
+                node = node.setdefault(c, {})
+            node[""] = e
+        return trie
 
-    def near(self, word: str) -> str | None:
-        """The best entry within one edit: the trie is walked together with the states (rows of the
-        edit table) of the word's Levenshtein automaton, as far as a state can still accept."""
-        n, best = len(word), None
-        stack = [(self.trie, list(range(n + 1)))]
+    @staticmethod
+    def _walk(trie: dict, places: dict[str, int], n: int):
+        """(entry, state, places of the last step) wherever trie and automaton both go on.  Where an edit
+        is spent only letters of the word at hand lead on, so only those are tried."""
+        stack, full = [(trie, 1, 2, 0)], (1 << n + 1) - 1
         while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[n] <= 1 and (best is None or self.words[child] > self.words[best]):
-                        best = child
-                    continue
-                new = [row[0] + 1]
-                for i in range(n):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c)))
-                if min(new) <= 1:
-                    stack.append((child, new))
+            node, exact, edited, _ = stack.pop()
+            if "" in node:
+                yield node[""], exact, edited, _
+            if exact:
+                children = [c for c in node if c]
+            else:
+                children = [c for c in places if c in node and places[c] & edited] if len(places) < len(node) else [c for c in node if places.get(c, 0) & edited]
+            for c in children:
+                x, y, last = step(places, exact, edited, c)
+                x, y = x & full, y & full
+                if x or y:
+                    stack.append((node[c], x, y, last))
+
+    def near(self, word: str) -> str | None:
+        """The best entry within one edit of the word."""
+        n, best, places = len(word), None, automaton(word)
+        for size in (n - 1, n, n + 1):
+            for e, exact, edited, _ in self._walk(self.tries[size], places, n) if size in self.tries else ():
+                if (exact | edited) >> n & 1 and (best is None or (self.words[e], e) > (self.words[best], best)):
+                    best = e
         return best
 
     def near_stem(self, word: str) -> str | None:
-        """The best stem within one edit of a beginning of the word: as `near`, but a state accepts where
-        any beginning that ends in the stem's last letter does."""
-        word, best = word[: self.beginnings.stop - 1], None
-        n = len(word)
-        stack = [(self.stem_trie, list(range(n + 1)), False)]
-        while stack:
-            node, row, ends = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if ends and (best is None or self.stems[child] > self.stems[best]):
-                        best = child
-                    continue
-                new, ends_here = [row[0] + 1], False
-                for i in range(n):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (word[i] != c)))
-                    ends_here |= word[i] == c and row[i] <= 1
-                if min(new) <= 1:
-                    stack.append((child, new, ends_here))
+        """The best stem within one edit of a beginning of the word that ends in the stem's last letter."""
+        word, best = word[: self.longest_stem + 1], None
+        for e, _, _, last in self._walk(self.stem_trie, automaton(word), len(word)):
+            if last and (best is None or (self.stems[e], e) > (self.stems[best], best)):
+                best = e
         return best
 
     def match(self, raw: str) -> tuple[str, float, int] | None:
@@ -129,12 +138,10 @@ class Lexicon:
             for k in self.stem_sizes:
                 if w[:k] in self.stems and len(w) >= k:
                     found = (w[:k], self.stems[w[:k]], 0)
-            # Within one edit two words agree, or one of their forms without a letter does: what can't
-            # match never reaches the automaton.
-            if found is None and len(w) >= 4 and near_any(w, self.shorter):
+            if found is None and 4 <= len(w) <= self.longest:  # longer words are more than one edit away
                 e = self.near(w)
                 found = e and (e, self.words[e], 1)
-            if found is None and any(near_any(w[:k], self.stem_shorter) for k in self.beginnings if k <= len(w)):
+            if found is None and len(w) >= 4 and self.stem_trie:
                 e = self.near_stem(w)
                 found = e and (e, self.stems[e], 1)
         self.seen[raw] = found
@@ -212,8 +219,10 @@ def _count(batches):
         yield packed()
 
 
-def learn_lexicon(sample: DataFrame, most: int = 500) -> dict[str, tuple[float, bool]]:
-    """sample(text, toxic) -> entries; at most `most` learned ones besides the seeds."""
+def learn_lexicon(sample: DataFrame) -> dict[str, tuple[float, bool]]:
+    """sample(text, toxic) -> entries: the seeds and all words and stems over the bounds on odds and
+    support.  Support is a share of the sample's toxic texts, so their number follows from the bounded
+    sample, whatever the corpus."""
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     entries = {s: (4.0, False) for s in SEEDS}
@@ -221,7 +230,7 @@ def learn_lexicon(sample: DataFrame, most: int = 500) -> dict[str, tuple[float,
         return entries
     odds = F.log((F.col("pos") + 0.3) / (pos + 0.6)) - F.log((F.col("neg") + 0.3) / (neg + 0.6))
     counts = sample.select("text", "toxic").mapInArrow(released(_count), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    good = counts.filter(F.col("pos") >= max(3, round(0.004 * pos))).withColumn("odds", odds).withColumn("sure", F.col("odds") / F.sqrt(1 / (F.col("pos") + 0.3) + 1 / (F.col("neg") + 0.3))).filter("odds > 1.6 and (odds > 2.5 or sure > 4)").orderBy(F.desc("pos"), "feature").limit(4 * most).collect()
+    good = counts.filter(F.col("pos") >= max(3, round(0.004 * pos))).withColumn("odds", odds).withColumn("sure", F.col("odds") / F.sqrt(1 / (F.col("pos") + 0.3) + 1 / (F.col("neg") + 0.3))).filter("odds > 1.6 and (odds > 2.5 or sure > 4)").select("feature", "pos", "odds").collect()
     of = {r.feature: (r.pos, r.odds) for r in good}
     words = {f for f in of if not f.endswith("*")}
     stems = {}
@@ -231,9 +240,7 @@ def learn_lexicon(sample: DataFrame, most: int = 500) -> dict[str, tuple[float,
         inner = max((of[g][0] for g in of if g.endswith("*") and len(g) > len(f) and g.startswith(f[:-1])), default=0)
         if p > 1.25 * longest and p > inner:  # more than its words and longer stems each
             stems[f[:-1]] = o
-    best = {w: stems.get(w, of[w][1] if w in words else 0.0) for w in words | stems.keys()}
-    chosen = set(sorted(best, key=lambda w: (-best[w], w))[:most])  # a word and the stem of its spelling count once
-    return entries | {w: (of[w][1], False) for w in words & chosen} | {s + "*": (o, True) for s, o in stems.items() if s in chosen}
+    return entries | {w: (of[w][1], False) for w in words} | {s + "*": (o, True) for s, o in stems.items()}
 
 
 def lexicon(entries: dict) -> Lexicon:
@@ -249,8 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
     half = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64(F.lit(13), id_col), id_col).limit(sample // 2) for t in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]))  # at most `sample` rows
     rows = docs.select(id_col, F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).join(chosen, id_col).select("text", "toxic")
-    rows = table(rows.repartition(24), "toxic-sample").dropDuplicates(["text"])
-    rows = table(rows, "toxic-distinct")
+    rows = table(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(24), "toxic-sample")
     entries = learn_lexicon(rows)
 
     def run(batches):
