@@ -526,3 +526,69 @@ def test_stems_leave_words_in_the_automaton(spark):
     for w in ("blorvnish", "bloorvenish", "blurvenish"):  # of an inflected form
         assert lex.match(w)[0] == "blorven" and lex.match(w)[2] == 1, w
     assert lex.match("blorvenish")[2] == 0 and lex.match("blorvetish") is None and lex.match("florist") is None
+
+
+def test_personal_data_in_long_lists_and_clashing_columns(spark):
+    text = " ".join(str(10_000_000 + i) for i in range(100_000)) + " mail a@b.org end"
+    df = spark.createDataFrame([(1, text, "x", "y"), (2, None, "x", "y"), (None, "a@b.org", None, None)], "doc_id long, text string, base string, wide string")
+    spans = {r.doc_id: r.span_list for r in pii.detect(df).collect()}
+    at = text.index("a@b.org")
+    assert ("email", at, at + 7) in [tuple(x) for x in spans[1]] and [tuple(x) for x in spans[None]] == [("email", 0, 7)]
+    out = pii.redact(df)
+    assert out.columns == df.columns and {(r.doc_id, r.base, r.text[-14:] if r.text else None) for r in out.collect()} == {(1, "x", "mail <email> end"[-14:]), (2, "x", None), (None, None, "<email>")}
+
+
+def test_reliabilities_are_recovered():
+    """Votes of labelers whose reliabilities are known: the estimates come near, posteriors sort well."""
+    r = random.Random(2)
+    right = (0.9, 0.8, 0.65, 0.75)
+    counts, truth = collections.Counter(), collections.Counter()
+    for _ in range(20000):
+        yes = r.random() < 0.3
+        votes = tuple(0 if r.random() < 0.2 else (1 if yes else -1) if r.random() < p else (-1 if yes else 1) for p in right)
+        counts[votes] += 1
+        truth[votes] += yes
+    p, tables, post = pii.reliabilities(sorted(counts.items()), rounds=100)
+    assert p == pytest.approx(0.3, abs=0.03)
+    for t, q in zip(tables, right):
+        assert t[1][1] / (t[1][1] + t[-1][1]) == pytest.approx(q, abs=0.04)
+    assert sum(abs(n * post[v] - truth[v]) for v, n in counts.items()) / 20000 < 0.03  # mean error, noise of the counts included
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automata_against_plain_edit_distance():
+    r = random.Random(8)
+    made = sorted({"".join(r.choice("abc") for _ in range(r.randint(5, 8))) for _ in range(60)})
+    entries = {w: (1 + i / 100, False) for i, w in enumerate(made[::2])} | {w + "*": (1 + i / 100, True) for i, w in enumerate(made[1::2])}
+    lex = toxicity.Lexicon(entries)
+    for _ in range(3000):
+        w = "".join(r.choice("abcd") for _ in range(r.randint(3, 11)))
+        near = [e for e in lex.words if len(e) >= 5 and edits(w, e) <= 1]
+        assert lex.near(w) == max(near, key=lambda e: (lex.words[e], e), default=None)
+        stems = [e for e in lex.stems if any(w[k - 1] == e[-1] and edits(w[: k - 1], e[:-1]) <= 1 for k in range(1, len(w) + 1))]
+        assert lex.near_stem(w) == max(stems, key=lambda e: (lex.stems[e], e), default=None), w
+    assert lex.match("x" * 1_000_000) is None
+
+
+def test_groups_of_equal_texts_stay_together(spark):
+    rows = [(i, f"copy {i % 40} " * 5) for i in range(400)] + [(1000 + i, "hot " * 50) for i in range(300)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), fine=4).collect()
+    text = dict(rows)
+    of = collections.defaultdict(set)
+    for g in got:
+        of[text[g.doc_id]].add(g.shard)
+    assert len(got) == 700 and all(len(s) == 1 for t, s in of.items() if not t.startswith("hot")) and len(of["hot " * 50]) > 1
+    size = collections.Counter()
+    for g in got:
+        size[g.shard] += g.size
+    group = max(sum(len(t) + 1 for t in text.values() if t == u) for u in of if not u.startswith("hot"))
+    assert all(abs(size[k] - sum(size.values()) / 8) <= group for k in range(8))
