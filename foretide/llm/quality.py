@@ -47,7 +47,8 @@ def shouts(line: str) -> bool:
     return upper > 0 and upper >= 4 * (len(b) - len(b.translate(None, LOWER)))
 
 
-def line_fails(line: str, words: list[str], alone: bool, again: bool) -> bool:
+def line_fails(line: str, words: list[str], alone: bool, again: bool, phrased: bool = True) -> bool:
+    """`phrased`: the text holds a phrase somewhere; where it doesn't, no line is searched for one."""
     n = len(words)
     if not SEPARATORS.isdisjoint(words):
         bars = sum(w in SEPARATORS for w in words)
@@ -61,7 +62,7 @@ def line_fails(line: str, words: list[str], alone: bool, again: bool) -> bool:
         return True
     if n >= 6 and shouts(line):
         return True
-    phrases = BOILER_RE.findall(line.lower())
+    phrases = BOILER_RE.findall(line.lower()) if phrased else ()
     return bool(phrases) and (n <= SHORT or 4 * sum(p.count(" ") + 1 for p in phrases) >= n)
 
 
@@ -94,7 +95,8 @@ def judge(text: str, most_lost: float = 0.5) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lines, removed, kept_words, cleaned)."""
     out, seen, words_all = [], set(), []
     dup = lines = removed = kept_words = 0
-    split = text.split("\n")
+    split, low = text.split("\n"), text.lower()
+    phrased = any(p in low for p in BOILERPLATE)
     for line in split:
         words = WORD_RE.findall(line)
         if not words:
@@ -105,7 +107,7 @@ def judge(text: str, most_lost: float = 0.5) -> tuple:
         dup += again
         seen.add(line)
         words_all += words
-        if line_fails(line, words, len(split) == 1, again):
+        if line_fails(line, words, len(split) == 1, again, phrased):
             removed += 1
         else:
             kept_words += len(words)
