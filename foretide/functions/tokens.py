@@ -19,6 +19,21 @@ def days(later: Column, earlier: Column) -> Column:
     return (later - earlier) / float(DAY)
 
 
+def plain(number: Column) -> Column:
+    """A number's text without an exponent: digits are moved, none are lost or rounded."""
+    parts = F.split(number, "E")
+    sign, power = F.when(number.startswith("-"), "-").otherwise(""), F.element_at(parts, 2).cast("int")
+    whole = F.regexp_replace(F.element_at(parts, 1), r"^-|\..*$", "")
+    rest = F.regexp_replace(F.regexp_extract(F.element_at(parts, 1), r"\.(.*)$", 1), "0+$", "")
+    digits, point = F.concat(whole, rest), F.length(whole) + power
+    size = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(digits, F.repeat(F.lit("0"), point - size))
+    between = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, size))
+    moved = F.when(point <= 0, small).when(point >= size, large).otherwise(between)
+    return F.when(number.contains("E"), F.concat(sign, moved)).otherwise(number)
+
+
 def token(df: DataFrame, column: str) -> Column:
     """n:, s: or b: by the column's type; null and NaN are NULL.  The same on fit and lookup."""
     kind, c = df.schema[column].dataType, F.col(column)
@@ -26,7 +41,7 @@ def token(df: DataFrame, column: str) -> Column:
         out = F.concat(F.lit("b:"), c.cast("int").cast("string"))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        out = F.when(F.isnan(c), None).when(c == float("inf"), "n:+inf").when(c == float("-inf"), "n:-inf").when(whole, F.concat(F.lit("n:"), c.cast("long").cast("string"))).otherwise(F.concat(F.lit("n:"), c.cast("string")))
+        out = F.when(F.isnan(c), None).when(c == float("inf"), "n:+inf").when(c == float("-inf"), "n:-inf").when(whole, F.concat(F.lit("n:"), c.cast("long").cast("string"))).otherwise(F.concat(F.lit("n:"), plain(c.cast("string"))))
     elif isinstance(kind, T.DecimalType):
         text = c.cast("string")
         out = F.concat(F.lit("n:"), F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text))

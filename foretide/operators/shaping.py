@@ -12,6 +12,11 @@ def temporal_split(df: DataFrame, time: str, train_end, validation_end) -> tuple
     if not train_end < validation_end:
         raise ValueError("inverted_split")
     t = F.col(time)
+    n = df.agg(F.count_if(t.isNull()).alias("none"), F.count_if(t <= train_end).alias("a"), F.count_if((t > train_end) & (t <= validation_end)).alias("b")).first()
+    if n.none:
+        raise ValueError("missing_split_time")
+    if not n.a or not n.b:
+        raise ValueError("empty_split")
     return df.filter(t <= train_end), df.filter((t > train_end) & (t <= validation_end))
 
 
@@ -147,13 +152,11 @@ def train_encoding(train: DataFrame, other: DataFrame, numeric: list[str], categ
 
 
 def align(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
-    """One-to-one join of feature blocks; raises on missing, extra or repeated rows."""
-    for a, b, what in ((left, right, "missing_rows"), (right, left, "extra_rows")):
-        if a.join(b.select(row_id), row_id, "left_anti").take(1):
-            raise ValueError(what)
-    if right.groupBy(row_id).count().filter("count > 1").take(1):
-        raise ValueError("repeated_rows")
-    return left.join(right, row_id)
+    """One-to-one join of feature blocks in one pass; reading it raises on missing, extra or repeated rows."""
+    one = right.withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy(row_id))).withColumnRenamed(row_id, "_right")
+    j = left.join(one, F.col(row_id) == F.col("_right"), "full")
+    fault = F.when(F.col("_right").isNull(), "missing_rows").when(F.col(row_id).isNull(), "extra_rows").when(F.col("_again") > 1, "repeated_rows")
+    return j.filter(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).drop("_right", "_again")
 
 
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:

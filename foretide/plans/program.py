@@ -49,7 +49,7 @@ def compile_task(task: Task, targets: DataFrame, sources: dict[str, DataFrame])
     """identity, passed-through and generated columns; every generated one sees strictly prior events.
     Null keys or times of targets raise, as do those of sources."""
     keys = {h.key for h in task.histories} | set(task.pair.keys if task.pair else ())
-    for df, cols, code in [(targets, [*keys, task.time], "null_target_key_or_time"), *((sources[h.role], [h.source_key, h.time], "null_group_key_or_time") for h in task.histories)]:
+    for df, cols, code in [(targets, [*keys, task.time], "null_target_key_or_time"), *((sources[h.role], [h.source_key, h.time], "null_group_key_or_time") for h in task.histories), *([(sources["pair"], [*task.pair.source_keys, task.pair.time], "null_pair_key_or_time")] if task.pair else [])]:
         bad = None
         for c in cols:
             bad = F.col(c).isNull() if bad is None else bad | F.col(c).isNull()

@@ -37,6 +37,24 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders")
 
 
+#: Shipments of a customer's orders: a history that precedes later orders.
+SHIPMENTS = "(SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS event_id, o_custkey AS user_id, l_shipdate AS ts, l_returnflag AS event_type, l_quantity AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+
+
+def _shipments(spark, sf_dir):
+    o = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
+    return table(spark, sf_dir, "lineitem").join(o, "l_orderkey").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("event_id"), "user_id", F.col("l_shipdate").alias("ts"), F.col("l_returnflag").alias("event_type"), F.col("l_quantity").alias("value"))
+
+
+def _cuts(o):
+    """Ends of the train and validation sides: three and four fifths of the time range."""
+    lo, hi = o.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    us = dt.timedelta(microseconds=1)
+    return tuple(lo + (hi - lo) // us * k // 5 * us for k in (3, 4))
+
+
+_CUTS = "(SELECT lo + (hi - lo) * 3 // 5 AS a, lo + (hi - lo) * 4 // 5 AS z FROM (SELECT epoch_us(min(o_orderdate)) AS lo, epoch_us(max(o_orderdate)) AS hi FROM orders))"
+
 _PRIOR = """
 SELECT t.o_orderkey, (SELECT count(*) FROM orders s WHERE s.o_custkey = t.o_custkey AND s.o_orderdate < t.o_orderdate) AS prior_count,
   (SELECT count(*) FROM orders s WHERE s.o_custkey = t.o_custkey AND s.o_orderdate < t.o_orderdate AND s.o_orderdate >= t.o_orderdate - INTERVAL 90 DAY) AS count_90d,
@@ -75,12 +93,12 @@ def asof_inclusive_orders(spark, sf_dir):
     return _asof(spark, sf_dir, False)
 
 
-@query("""
+@query(f"""
 SELECT count(*) AS rows, count(m) AS matched, CAST(0 AS BIGINT) AS future, count(*) FILTER (m = o_orderdate) AS exact
-FROM (SELECT t.o_orderdate, (SELECT max(s.ts) FROM events s WHERE s.user_id = t.o_custkey AND s.ts <= t.o_orderdate) AS m FROM orders t)
+FROM (SELECT t.o_orderdate, (SELECT max(s.ts) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts <= t.o_orderdate) AS m FROM orders t)
 """)
-def asof_audit_orders_events(spark, sf_dir):
-    o, e = _orders(spark, sf_dir), table(spark, sf_dir, "events")
+def asof_audit_shipments(spark, sf_dir):
+    o, e = _orders(spark, sf_dir), _shipments(spark, sf_dir)
     m = asof_join(o, e, "o_orderkey", ["o_custkey"], "o_orderdate", "ts", ["event_type"], ["event_id"], s_key=["user_id"])
     return asof_audit(m, o, "o_orderkey", "o_orderdate")
 
@@ -125,9 +143,9 @@ SELECT t.{tid}, coalesce(a.count, 0.0) AS count, round(a.mean, 6) AS mean, round
 """
 
 
-@query(_history_sql("orders", "o_orderkey", "o_custkey", "o_orderdate", "events", "user_id", "ts", "value", "event_type", "event_id"))
-def history_baseline_events(spark, sf_dir):
-    o, e = _orders(spark, sf_dir), table(spark, sf_dir, "events")
+@query(_history_sql("orders", "o_orderkey", "o_custkey", "o_orderdate", SHIPMENTS, "user_id", "ts", "value", "event_type", "event_id"))
+def history_baseline_shipments(spark, sf_dir):
+    o, e = _orders(spark, sf_dir), _shipments(spark, sf_dir)
     return rounded(history(o, e, "o_orderkey", ["o_custkey"], "o_orderdate", "ts", "value", "event_type", ["event_id"], s_key=["user_id"]), *_HISTORY).withColumn("std", F.round("std", 4))
 
 
@@ -201,27 +219,26 @@ def candidate_edges(spark, sf_dir):
 
 
 def _fd_features_sql():
-    p = "f_fd__events:event_type__to__bin__"
+    p = "f_fd__shipments:event_type__to__bin__"
     cols = ", ".join(f'round(CAST(m.{s} AS DOUBLE), 6) + 0.0 AS "{p}{s}"' for s in fd.STATS)
     miss = ", ".join(f'CAST(m.{s} IS NULL AS INTEGER) AS "{p}{s}__is_missing"' for s in fd.STATS)
     return f"""
-WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS b FROM events),
-e AS (SELECT *, 'bin_' || len(list_filter(b, lambda x: x <= value)) AS bin FROM events, q),
-h AS (SELECT max(ts) AS hz FROM events WHERE event_id % 2 = 0),
-c AS (SELECT event_type AS lhs, bin AS rhs, count(*) AS n FROM e, h WHERE ts <= hz GROUP BY ALL),
+WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS b FROM {SHIPMENTS}),
+e AS (SELECT v.*, 'bin_' || len(list_filter(b, lambda x: x <= value)) AS bin FROM {SHIPMENTS} v, q),
+h AS (SELECT a AS hz FROM {_CUTS}),
+c AS (SELECT event_type AS lhs, bin AS rhs, count(*) AS n FROM e, h WHERE epoch_us(ts) <= hz GROUP BY ALL),
 s AS (SELECT lhs, sum(n) AS total, list(n ORDER BY n DESC) AS l FROM c GROUP BY 1),
 m AS (SELECT lhs, l[1] / total AS majority_confidence, (SELECT -sum(c.n / s.total * ln(c.n / s.total + 1e-12)) FROM c WHERE c.lhs = s.lhs) AS entropy, len(l) AS conflict_count, total AS support_count, (l[1] - coalesce(l[2], 0)) / total AS top1_margin FROM s)
 SELECT t.o_orderkey, {cols}, {miss} FROM orders t
-LEFT JOIN LATERAL (SELECT event_type FROM events x WHERE x.user_id = t.o_custkey AND x.ts < t.o_orderdate ORDER BY x.ts DESC, x.event_id DESC LIMIT 1) a ON true LEFT JOIN m ON m.lhs = a.event_type
+LEFT JOIN LATERAL (SELECT event_type FROM {SHIPMENTS} x WHERE x.user_id = t.o_custkey AND x.ts < t.o_orderdate ORDER BY x.ts DESC, x.event_id DESC LIMIT 1) a ON true LEFT JOIN m ON m.lhs = a.event_type
 """
 
 
 @query(_fd_features_sql())
-def fd_features_events(spark, sf_dir):
-    e, o = table(spark, sf_dir, "events"), _orders(spark, sf_dir)
+def fd_features_shipments(spark, sf_dir):
+    e, o = _shipments(spark, sf_dir), _orders(spark, sf_dir)
     b = e.withColumn("bin", bin_label(F.col("value"), quantile_bounds(e, "value", 4))).withColumnRenamed("user_id", "o_custkey")
-    horizon = e.filter("event_id % 2 = 0").agg(F.max("ts")).first()[0]
-    out = fd.features(o, b, "o_orderkey", "o_custkey", "o_orderdate", "ts", "event_type", "bin", ["event_id"], F.lit(horizon), "events")
+    out = fd.features(o, b, "o_orderkey", "o_custkey", "o_orderdate", "ts", "event_type", "bin", ["event_id"], F.lit(_cuts(o)[0]), "shipments")
     return rounded(out, *(c for c in out.columns if c.startswith("f_fd") and not c.endswith("is_missing")))
 
 
@@ -248,13 +265,14 @@ def temporal_split(spark, sf_dir):
     return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("""
-WITH c AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
-SELECT e.event_id, e.user_id FROM events e JOIN c ON c.o_custkey = e.user_id AND e.ts <= c.m
+@query(f"""
+WITH c AS (SELECT o_custkey, max(o_orderdate) AS m FROM orders, {_CUTS} WHERE epoch_us(o_orderdate) <= a GROUP BY 1)
+SELECT e.event_id, e.user_id FROM {SHIPMENTS} e JOIN c ON c.o_custkey = e.user_id AND e.ts <= c.m
 """)
 def fit_table(spark, sf_dir):
-    train = _orders(spark, sf_dir).filter("o_orderkey % 3 = 0")
-    return shaping.fit_table(table(spark, sf_dir, "events"), train, "user_id", "o_custkey", "ts", "o_orderdate").select("event_id", "user_id")
+    o = _orders(spark, sf_dir)
+    train, _ = shaping.temporal_split(o, "o_orderdate", *_cuts(o))
+    return shaping.fit_table(_shipments(spark, sf_dir), train, "user_id", "o_custkey", "ts", "o_orderdate").select("event_id", "user_id")
 
 
 @query("""
@@ -272,9 +290,9 @@ def referential_coverage(spark, sf_dir):
     return rounded(shaping.coverage(table(spark, sf_dir, "events"), "user_id", table(spark, sf_dir, "customer"), "c_custkey"), "coverage")
 
 
-@query("SELECT count(*) AS rows, round(avg(CAST(EXISTS (SELECT 1 FROM events e WHERE e.user_id = o_custkey AND e.ts < o_orderdate) AS INT)), 6) AS history_coverage FROM orders")
+@query(f"SELECT count(*) AS rows, round(avg(CAST(EXISTS (SELECT 1 FROM {SHIPMENTS} e WHERE e.user_id = o_custkey AND e.ts < o_orderdate) AS INT)), 6) AS history_coverage FROM orders")
 def history_coverage(spark, sf_dir):
-    return rounded(shaping.history_coverage(_orders(spark, sf_dir), "o_custkey", "o_orderdate", table(spark, sf_dir, "events"), "user_id", "ts", True), "history_coverage")
+    return rounded(shaping.history_coverage(_orders(spark, sf_dir), "o_custkey", "o_orderdate", _shipments(spark, sf_dir), "user_id", "ts", True), "history_coverage")
 
 
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -310,14 +328,15 @@ def static_customer_features(spark, sf_dir):
     return rounded(out, "c_acctbal").drop("o_custkey")
 
 
-@query("""
-WITH tr AS (SELECT * FROM orders WHERE o_orderkey % 2 = 0), m AS (SELECT quantile_cont(o_totalprice, 0.5) AS md FROM tr), k AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority) - 1 AS c FROM (SELECT DISTINCT o_orderpriority FROM tr))
-SELECT o_orderkey, round(coalesce(o_totalprice, md), 6) AS o_totalprice, CAST(coalesce(c, -1) AS INTEGER) AS o_orderpriority__code FROM orders JOIN m ON true LEFT JOIN k ON p = o_orderpriority WHERE o_orderkey % 2 = 1
+@query(f"""
+WITH tr AS (SELECT orders.* FROM orders, {_CUTS} WHERE epoch_us(o_orderdate) <= a), m AS (SELECT quantile_cont(o_totalprice, 0.5) AS md FROM tr), k AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority) - 1 AS c FROM (SELECT DISTINCT o_orderpriority FROM tr))
+SELECT o_orderkey, CASE WHEN epoch_us(o_orderdate) <= a THEN 'train' ELSE 'other' END AS split, round(coalesce(o_totalprice, md), 6) AS o_totalprice, CAST(coalesce(c, -1) AS INTEGER) AS o_orderpriority__code FROM orders JOIN m ON true JOIN {_CUTS} ON true LEFT JOIN k ON p = o_orderpriority
 """)
 def train_only_encoding(spark, sf_dir):
-    o = _orders(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderpriority")
-    out = shaping.train_encoding(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_totalprice"], ["o_orderpriority"])
-    return rounded(out, "o_totalprice").drop("o_orderpriority")
+    o = _orders(spark, sf_dir).select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderdate")
+    end = F.lit(_cuts(o)[0])
+    out = shaping.train_encoding(o.filter(F.col("o_orderdate") <= end), o.withColumn("split", F.when(F.col("o_orderdate") <= end, "train").otherwise("other")), ["o_totalprice"], ["o_orderpriority"])
+    return rounded(out, "o_totalprice").select("o_orderkey", "split", "o_totalprice", "o_orderpriority__code")
 
 
 def _scored(spark, sf_dir):
@@ -396,20 +415,20 @@ _P = "f_pairwise__"
 
 @query(f"""
 SELECT t.o_orderkey, t.o_orderstatus,
-  (SELECT count(*) FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 30 DAY) AS {_P}left__count_30d,
-  (SELECT count(*) FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 90 DAY) AS {_P}left__count_90d,
-  (SELECT count(*) FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 365 DAY) AS {_P}left__count_365d,
-  (SELECT count(DISTINCT event_type) FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 30 DAY) AS {_P}left__unique_neighbors_30d,
-  (SELECT count(DISTINCT event_type) FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 90 DAY) AS {_P}left__unique_neighbors_90d,
-  coalesce((SELECT round(epoch_us(t.o_orderdate - max(s.ts)) / 86400000000.0, 6) FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate), 0.0) AS {_P}left__days_since_last,
-  CAST(NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate) AS INTEGER) AS {_P}left__days_since_last__is_missing,
+  (SELECT count(*) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 30 DAY) AS {_P}left__count_30d,
+  (SELECT count(*) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 90 DAY) AS {_P}left__count_90d,
+  (SELECT count(*) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 365 DAY) AS {_P}left__count_365d,
+  (SELECT count(DISTINCT event_type) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 30 DAY) AS {_P}left__unique_neighbors_30d,
+  (SELECT count(DISTINCT event_type) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate AND s.ts >= t.o_orderdate - INTERVAL 90 DAY) AS {_P}left__unique_neighbors_90d,
+  coalesce((SELECT round(epoch_us(t.o_orderdate - max(s.ts)) / 86400000000.0, 6) FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate), 0.0) AS {_P}left__days_since_last,
+  CAST(NOT EXISTS (SELECT 1 FROM {SHIPMENTS} s WHERE s.user_id = t.o_custkey AND s.ts < t.o_orderdate) AS INTEGER) AS {_P}left__days_since_last__is_missing,
   (SELECT count(*) FROM orders s WHERE s.o_custkey = t.o_custkey AND s.o_orderstatus = t.o_orderstatus AND s.o_orderdate < t.o_orderdate) AS {_P}pair__prior_count,
   coalesce((SELECT round(epoch_us(t.o_orderdate - max(s.o_orderdate)) / 86400000000.0, 6) FROM orders s WHERE s.o_custkey = t.o_custkey AND s.o_orderstatus = t.o_orderstatus AND s.o_orderdate < t.o_orderdate), 0.0) AS {_P}pair__days_since_last,
   CAST(NOT EXISTS (SELECT 1 FROM orders s WHERE s.o_custkey = t.o_custkey AND s.o_orderstatus = t.o_orderstatus AND s.o_orderdate < t.o_orderdate) AS INTEGER) AS {_P}pair__days_since_last__is_missing
 FROM orders t
 """)
 def compiled_pairwise_program(spark, sf_dir):
-    o, e = _orders(spark, sf_dir), table(spark, sf_dir, "events")
+    o, e = _orders(spark, sf_dir), _shipments(spark, sf_dir)
     task = Task("o_orderkey", "o_orderdate", "o_totalprice", ("o_orderstatus",), (HistorySpec("left", "o_custkey", "user_id", "ts", "event_type"),), PairSpec(("o_custkey", "o_orderstatus"), ("o_custkey", "o_orderstatus"), "o_orderdate"))
     out = compile_task(task, o, {"left": e, "pair": o})
     return rounded(out, f"{_P}left__days_since_last", f"{_P}pair__days_since_last")
@@ -420,3 +439,6 @@ def fd_corruption_summary(spark, sf_dir):
     """Seeded hashes choose the swaps, so there is no SQL; tests hold it against its invariants."""
     o = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus")
     return corruption.corruption_summary(o, corruption.corrupt(o, "o_orderkey", "o_custkey", "o_orderstatus", 0.5, 17), "o_orderkey", "o_custkey", "o_orderstatus")
+
+
+from . import queries_selection  # noqa: E402, F401  registers its queries here

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,12 +65,17 @@ def pre_split(train: DataFrame, validation: DataFrame) -> tuple[DataFrame, DataF
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames, so that readers see all or nothing."""
+    """Writes beside the target, under a name of this call alone, and renames, so that readers see all or
+    nothing.  An existing target raises before anything is written; of two writers the later one raises."""
     spark = df.sparkSession
-    staging = f"{path}.staging"
-    df.write.mode("overwrite").parquet(staging)
     p = spark._jvm.org.apache.hadoop.fs.Path
     fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(p(path)):
         raise FileExistsError(path)
-    fs.rename(p(staging), p(path))
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(staging)
+        if fs.exists(p(path)) or not fs.rename(p(staging), p(path)):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(p(staging), True)
