@@ -57,9 +57,9 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFr
     given = F.col("v").isNotNull()
     n = F.when(given, F.col("n")).otherwise(0)
     per = c.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.sum(n).alias("non_null"), F.count("v").alias("cardinality"), (F.sum(n * F.length("text")) / F.sum(n)).alias("mean_length"), F.max(F.length("text")).alias("max_length"),
-        (F.sum(n * F.regexp_count("text", F.lit(r"\S+"))) / F.sum(n)).alias("mean_words"), F.count_if(given & (F.col("n") > 1)).alias("repeated_values"), F.sum(F.when(given & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("repeated_rows"),
-        (F.sum(F.when(F.col("text").rlike(GUID), n).otherwise(0)) / F.sum(n)).alias("guid_share"), F.sum(n * F.log2(F.col("n").cast("double"))).alias("_nlogn"), F.sum(F.when(F.col("v").isin("n:+inf", "n:-inf"), F.col("n")).otherwise(0)).alias("_infinite"),
+        F.sum("n").alias("rows"), F.sum(n).alias("non_null"), F.count("v").alias("cardinality"), F.try_divide(F.sum(n * F.length("text")), F.sum(n)).alias("mean_length"), F.max(F.length("text")).alias("max_length"),
+        F.try_divide(F.sum(n * F.regexp_count("text", F.lit(r"\S+"))), F.sum(n)).alias("mean_words"), F.count_if(given & (F.col("n") > 1)).alias("repeated_values"), F.sum(F.when(given & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("repeated_rows"),
+        F.try_divide(F.sum(F.when(F.col("text").rlike(GUID), n).otherwise(0)), F.sum(n)).alias("guid_share"), F.sum(n * F.log2(F.col("n").cast("double"))).alias("_nlogn"), F.sum(F.when(F.col("v").isin("n:+inf", "n:-inf"), F.col("n")).otherwise(0)).alias("_infinite"),
     )
     entropy = F.when(F.col("non_null") > 0, F.log2(F.col("non_null").cast("double")) - F.col("_nlogn") / F.col("non_null")).otherwise(0.0)
     finite = F.when(F.col("non_null") > 0, 1 - F.col("_infinite") / F.col("non_null")).otherwise(0.0)
@@ -172,7 +172,7 @@ def usable_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def cell_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of cells that aren't 0, population variance and distinct values over all cells of the columns."""
     cells = df.select(F.explode(F.array(*(F.col(c).cast("double") for c in columns))).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("v is not null")
-    n = F.sum("n")
+    n = F.nullif(F.sum("n"), F.lit(0))
     mean = F.sum(F.col("n") * F.col("v")) / n
     return cells.agg((F.sum(F.when(F.col("v") != 0, F.col("n")).otherwise(0)) / n).alias("nonzero_rate"), F.greatest(F.sum(F.col("n") * F.col("v") * F.col("v")) / n - mean * mean, F.lit(0.0)).alias("variance"), F.count(F.lit(1)).alias("unique_values"))
 

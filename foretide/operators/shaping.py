@@ -156,7 +156,7 @@ def align(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
     one = right.withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy(row_id))).withColumnRenamed(row_id, "_right")
     j = left.join(one, F.col(row_id) == F.col("_right"), "full")
     fault = F.when(F.col("_right").isNull(), "missing_rows").when(F.col(row_id).isNull(), "extra_rows").when(F.col("_again") > 1, "repeated_rows")
-    return j.filter(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).drop("_right", "_again")
+    return j.filter(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).select(*left.columns, *(c for c in right.columns if c != row_id))
 
 
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:

@@ -106,8 +106,11 @@ def test_folds(spark):
 
 def test_align_and_compile_raise(spark):
     a, b = spark.createDataFrame([(1, 2)], "id int, x int"), spark.createDataFrame([(2, 2)], "id int, z int")
-    with pytest.raises(ValueError):
-        shaping.align(a, b, "id")
+    # alignment is one join, which raises when it is read
+    for left, right, what in ((a, b, "missing_rows|extra_rows"), (a, a.selectExpr("id", "x AS z").union(a), "repeated_rows")):
+        with pytest.raises(Exception, match=what):
+            shaping.align(left, right, "id").collect()
+    assert shaping.align(a, a.selectExpr("id", "x AS z"), "id").collect() == [(1, 2, 2)]
     t = spark.createDataFrame([(1, None, day(0))], "id int, k string, t timestamp_ntz")
     with pytest.raises(ValueError, match="null_target"):
         compile_task(Task("id", "t", histories=(HistorySpec("l", "k", "k", "t"),)), t, {"l": t})
