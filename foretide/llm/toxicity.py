@@ -65,6 +65,16 @@ def step(places: dict[str, int], exact: int, edited: int, c: str) -> tuple[int,
     return new, same | exact << 1 | exact | new << 1, new | same | new << 1 & at << 1
 
 
+def without_a_letter(entries) -> set[str]:
+    """The entries and their forms without a letter.  Two words within one edit agree, or a form of one
+    without a letter is among these of the other: what can't match never reaches the automaton."""
+    return {f for e in entries for f in (e, *(e[:i] + e[i + 1 :] for i in range(len(e))))}
+
+
+def near_any(w: str, forms: set[str]) -> bool:
+    return w in forms or any(w[:i] + w[i + 1 :] in forms for i in range(len(w)))
+
+
 class Lexicon:
     """entries: {text: (weight, is_stem)}; a stem may end in a star, which tells it from a word of its spelling."""
 
@@ -77,6 +87,10 @@ class Lexicon:
         self.tries = {n: self.grown(e for e in self.words if len(e) == n) for n in {len(e) for e in self.words} if n >= 5}
         self.stem_trie = self.grown(e for e in self.stems if len(e) >= 5)
         self.longest_stem = max(self.stem_sizes, default=0)
+        self.forms = without_a_letter(e for e in self.words if len(e) >= 5)
+        self.stem_forms = without_a_letter(e for e in self.stems if len(e) >= 5)
+        sizes = [k for k in self.stem_sizes if k >= 5]
+        self.beginnings = range(sizes[0] - 1, sizes[-1] + 2) if sizes else range(0)
         self.longest = max(max(self.tries, default=0), self.longest_stem) + 1
 
     @staticmethod
@@ -138,10 +152,10 @@ class Lexicon:
             for k in self.stem_sizes:
                 if w[:k] in self.stems and len(w) >= k:
                     found = (w[:k], self.stems[w[:k]], 0)
-            if found is None and 4 <= len(w) <= self.longest:  # longer words are more than one edit away
+            if found is None and 4 <= len(w) <= self.longest and near_any(w, self.forms):  # longer words are more than one edit away
                 e = self.near(w)
                 found = e and (e, self.words[e], 1)
-            if found is None and len(w) >= 4 and self.stem_trie:
+            if found is None and any(near_any(w[:k], self.stem_forms) for k in self.beginnings if k <= len(w)):
                 e = self.near_stem(w)
                 found = e and (e, self.stems[e], 1)
         self.seen[raw] = found
