@@ -75,6 +75,19 @@ def near_any(w: str, forms: set[str]) -> bool:
     return w in forms or any(w[:i] + w[i + 1 :] in forms for i in range(len(w)))
 
 
+def halves(entries) -> tuple[set[str], set[str]]:
+    """First and second halves of entries.  One edit falls into one of them, so the other stands unchanged
+    at the same end of a word that matches."""
+    return {e[: len(e) // 2] for e in entries}, {e[len(e) // 2 :] for e in entries}
+
+
+def shares_half(w: str, first: set[str], second: set[str]) -> bool:
+    """Whether w starts or ends with a half of an entry that is up to one letter shorter or longer."""
+    h = len(w) // 2
+    k = len(w) - h
+    return w[:h] in first or w[-k:] in second or (w[: h - 1] in first or w[-k - 1 :] in second if h == k else w[: h + 1] in first or w[1 - k :] in second)
+
+
 class Lexicon:
     """entries: {text: (weight, is_stem)}; a stem may end in a star, which tells it from a word of its spelling."""
 
@@ -87,8 +100,15 @@ class Lexicon:
         self.tries = {n: self.grown(e for e in self.words if len(e) == n) for n in {len(e) for e in self.words} if n >= 5}
         self.stem_trie = self.grown(e for e in self.stems if len(e) >= 5)
         self.longest_stem = max(self.stem_sizes, default=0)
-        self.forms = without_a_letter(e for e in self.words if len(e) >= 5)
+        self.forms_of = {n: without_a_letter(e for e in self.words if len(e) == n) for n in self.tries}
+        self.forms = set().union(*self.forms_of.values())
         self.stem_forms = without_a_letter(e for e in self.stems if len(e) >= 5)
+        self.first, self.second = halves([e for e in self.words if len(e) >= 5])
+        #: An edit of a stem leaves its first three letters, or its first two and the fourth and fifth, or the
+        #: third to fifth as they are; what follows the edit may stand one place off.
+        stems = [e for e in self.stems if len(e) >= 5]
+        self.stem_heads, self.stem_middles = {e[:3] for e in stems}, {e[2:5] for e in stems}
+        self.stem_pairs, self.stem_starts = {e[:2] + e[3:5] for e in stems}, {e[:2] for e in stems}
         sizes = [k for k in self.stem_sizes if k >= 5]
         self.beginnings = range(sizes[0] - 1, sizes[-1] + 2) if sizes else range(0)
         self.longest = max(max(self.tries, default=0), self.longest_stem) + 1
@@ -126,7 +146,9 @@ class Lexicon:
         """The best entry within one edit of the word."""
         n, best, places = len(word), None, automaton(word)
         for size in (n - 1, n, n + 1):
-            for e, exact, edited, _ in self._walk(self.tries[size], places, n) if size in self.tries else ():
+            if size not in self.tries or not near_any(word, self.forms_of[size]):
+                continue
+            for e, exact, edited, _ in self._walk(self.tries[size], places, n):
                 if (exact | edited) >> n & 1 and (best is None or (self.words[e], e) > (self.words[best], best)):
                     best = e
         return best
@@ -139,6 +161,13 @@ class Lexicon:
                 best = e
         return best
 
+    def may_begin(self, w: str) -> bool:
+        middles, pairs = self.stem_middles, self.stem_pairs
+        if w[:3] in self.stem_heads or w[2:5] in middles or w[1:4] in middles or w[3:6] in middles:
+            return True
+        head = w[:2]
+        return head in self.stem_starts and (w[:4] in pairs or head + w[3:5] in pairs or head + w[4:6] in pairs)
+
     def match(self, raw: str) -> tuple[str, float, int] | None:
         """(entry, weight, edits) of a word."""
         if raw in self.seen:
@@ -152,10 +181,10 @@ class Lexicon:
             for k in self.stem_sizes:
                 if w[:k] in self.stems and len(w) >= k:
                     found = (w[:k], self.stems[w[:k]], 0)
-            if found is None and 4 <= len(w) <= self.longest and near_any(w, self.forms):  # longer words are more than one edit away
+            if found is None and 4 <= len(w) <= self.longest and shares_half(w, self.first, self.second) and near_any(w, self.forms):  # longer words are more than one edit away
                 e = self.near(w)
                 found = e and (e, self.words[e], 1)
-            if found is None and any(near_any(w[:k], self.stem_forms) for k in self.beginnings if k <= len(w)):
+            if found is None and self.may_begin(w) and any(near_any(w[:k], self.stem_forms) for k in self.beginnings if k <= len(w)):
                 e = self.near_stem(w)
                 found = e and (e, self.stems[e], 1)
         self.seen[raw] = found
@@ -165,8 +194,8 @@ class Lexicon:
         """((entry, weight, edits, context factor) of every match, number of words)."""
         words = text.split()
         match, out = self.match, []
-        for i, w in enumerate(words):
-            if m := match(w):
+        for i, m in enumerate(map(match, words)):
+            if m:
                 out.append((*m, context(words, i)))
         return out, len(words)
 
