@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_rows, give_back, mixed, released, table, text_of, word_hashes
+from ._common import arrow_rows, forget, give_back, mixed, released, settled, table, text_of, word_hashes
 from .components import components
 
 WORDS = 5
@@ -312,7 +312,7 @@ def verified(rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     one = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("hi").alias("hb"), F.col("mid").alias("mb")), "b")
     two = one.join(sets.select(F.col("cls").alias("a"), F.col("hi").alias("ha"), F.col("mid").alias("ma")), "a")
     with arrow_rows(spark, SLICE // 2):
-        return table(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(released(overlap), "a long, b long").distinct(), "join-links")
+        return settled(two.select("a", "b", "ha", "ma", "hb", "mb").mapInArrow(released(overlap), "a long, b long").distinct(), "join-links")
 
 
 def _stars(held: DataFrame) -> DataFrame:
@@ -408,15 +408,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
     fragments = max(4, -(-size // fragment_bytes))
     with arrow_rows(spark, SLICE):
         found = table(rows.mapInArrow(released(_emit(fragments)), _EMITTED), "join-emitted", "none")
-    own = found.filter("frag = -1").select("doc_id", "cls", "n")
-    reps = table(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "join-classes")
+    own = settled(found.filter("frag = -1").select("doc_id", "cls", "n"), "join-own")
+    reps = settled(own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "join-classes")
     segments = found.filter("frag >= 0")
     links, common, members = None, None, None
     labels = None
 
     def joined(more: DataFrame) -> None:
         nonlocal links, labels
-        links = more if links is None else table(links.union(more), "join-all-links")
+        links = more if links is None else settled(links.union(more), "join-all-links")
         by = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
         labels = components(by.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
@@ -428,29 +428,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fragme
                 rows = table(rows.mapInArrow(released(_only(only)), "doc_id long, text string"), "join-rows")
             segments = rows.mapInArrow(released(_emit(fragments, last)), _EMITTED).filter("frag >= 0")
         with arrow_rows(spark, SLICE):
-            counted = table(segments.groupBy("frag").applyInArrow(_count, _COUNTED), "join-counted")
+            counted = settled(segments.groupBy("frag").applyInArrow(_count, _COUNTED), "join-counted")
+        if not level:
+            forget(found)  # the n-grams are counted, the sets' sizes are in `own`
         # Beyond the prefix at most ceil(3n/4) - 1 n-grams are left.
         rest = F.greatest(F.floor((3 * F.col("na") + 3) / 4), F.floor((3 * F.col("nb") + 3) / 4)) - 1
         reaches = F.col("o") + rest >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / 7)
         pairs = counted.filter("kind = 1").groupBy("a", "b").agg(F.sum("o").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        held = table(_longs("held", "cls")(counted.filter("kind = 2")).join(reps, "cls"), "join-held")
+        held = settled(_longs("held", "cls")(counted.filter("kind = 2")).join(reps, "cls"), "join-held")
         pairs = pairs.filter(reaches).select("a", "b").union(_stars(held))
-        joined(verified(rows, reps, table(pairs.distinct(), "join-pairs")))
+        joined(verified(rows, reps, settled(pairs.distinct(), "join-pairs")))
         at = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
         lists = held.join(at, "cls")
         spread = lists.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-        lists = table(_by_list(lists, spread), "join-lists")
+        lists = settled(_by_list(lists, spread), "join-lists")
         last_level = level == LEVELS - 1
         few = lists if last_level else lists.filter(F.col("k") <= FEW)
-        across = table(_between(few, counted.filter("kind = 1")), "join-across")
+        across = settled(_between(few, counted.filter("kind = 1")), "join-across")
         if across.limit(1).count():
             joined(verified(rows, reps, across))
         many = lists.filter(F.col("k") > FEW)
         if last_level or not many.limit(1).count():
             break
-        members = table(many.select("rep").distinct(), "join-members")
+        members = settled(many.select("rep").distinct(), "join-members")
         tokens = _longs("tokens", "token")(counted.filter("kind = 2").join(many.select("list").distinct(), "list", "left_semi")).select("token")
-        common = table(tokens if common is None else tokens.union(common), "join-common")
+        common = settled(tokens if common is None else tokens.union(common), "join-common")
 
     placed = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("component_id"))
     return own.join(placed, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
